@@ -65,13 +65,12 @@ def as_known_join(
         F.max("state").over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("state"),
     )
     log = written(log, "asof-log")
-    last = events.agg(F.max(_period(F.col(event_day), snapshot_days)).alias("last"))
+    last = events.agg(F.max(_period(F.col(event_day), snapshot_days))).first()[0]  # one number
     ends = log.groupBy("ck", "period").agg(F.max(F.struct("vis", "state")).alias("e"))
     ends = ends.select("ck", "period", F.col("e.state").alias("state"), F.lead("period").over(Window.partitionBy("ck").orderBy("period")).alias("next_period"))
     # A snapshot for every later period up to and including that of the next change (or of the last event).
     snapshots = written(
-        ends.crossJoin(last)  # one row
-        .select("ck", "state", (F.col("period") + 1).alias("lo"), F.coalesce("next_period", "last").alias("hi"))
+        ends.select("ck", "state", (F.col("period") + 1).alias("lo"), F.coalesce(F.col("next_period"), F.lit(last).cast("int")).alias("hi"))
         .where("lo <= hi")
         .select("ck", "state", F.explode(F.sequence("lo", "hi")).alias("period")),
         "asof-snapshots",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,14 +43,15 @@ def snapshot_changes(rows: DataFrame, keys: Sequence[str], values: Sequence[str]
     ks, vs = [f"k{i}" for i in range(len(keys))], [f"v{i}" for i in range(len(values))]
     records = known.groupBy("snap", *ks).agg(F.max("version").alias("version"))
     # The order of snapshots: one row per distinct snapshot, each with its successor.
-    order = known.select("snap").distinct().select("snap", F.lead("snap").over(_by_snap()).alias("next_snap"))
+    by_snap = Window.orderBy("snap")
+    order = known.select("snap").distinct().select("snap", F.lead("snap").over(by_snap).alias("next_snap"), F.lag("snap").over(by_snap).alias("prior_snap"))
     records = records.select(
         "snap", *ks, *[F.col(f"version.{v}").alias(v) for v in vs]
     ).withColumn("row_hash", canonical_hash([F.col(v) for v in vs]))
     old = records.join(order, "snap").where("next_snap is not null").select(
         F.col("next_snap").alias("snap"), *ks, *[F.col(v).alias(f"old_{v}") for v in vs], F.col("row_hash").alias("old_hash")
     )
-    new = records.join(order.agg(F.min("snap").alias("first_snap")), F.col("snap") > F.col("first_snap")).drop("first_snap")
+    new = records.join(order, "snap").where("prior_snap is not null").drop("next_snap", "prior_snap")
     o, n = old.alias("o"), new.alias("n")
     on = F.col("o.snap") == F.col("n.snap")
     for k in ks:
@@ -73,9 +74,3 @@ def snapshot_changes(rows: DataFrame, keys: Sequence[str], values: Sequence[str]
         )
         .where("change_kind is not null")
     )
-
-
-def _by_snap():
-    from pyspark.sql import Window
-
-    return Window.orderBy("snap")
