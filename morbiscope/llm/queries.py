@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morbiscope.llm import layout_copies as L
-from morbiscope.llm import packing, tree_tokenizer
+from morbiscope.llm import canon_names, packing, tree_tokenizer
 from morbiscope.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit meant by every typed Admin1 name that is not canonical."""
+    return canon_names.opendengue_names(table(spark, sf_dir, "opendengue"), table(spark, sf_dir, "administrative_boundaries"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies that differ only in layout, in ``opendengue`` and ``news_rss``."""
     places = L.place_copies(table(spark, sf_dir, "opendengue")).select(F.lit("opendengue").alias("table_name"), "first_id", "copy_id")
@@ -30,7 +35,7 @@ def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p7_ids": p7_ids, "p8_packing": p8_packing}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_packing": p8_packing}
 
 
 def _bare(x: str) -> str:
