@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from morbiscope.functions import normal as N
+from morbiscope.runtime import written
 
 UNMATCHED = "UNMATCHED"
 #: Entries of the reference list one trie holds; a longer list is searched in blocks of this size.
@@ -314,7 +315,7 @@ def opendengue_names(opendengue: DataFrame, boundaries: DataFrame) -> DataFrame:
     )
     typed = typed.where("country is null or country <> 'VNM'").withColumn("key", F.lower("name"))
     listed = boundaries.where("adm_1_name is not null").select(c("iso3").alias("country"), F.lower("adm_1_name").alias("key"), c("p_code").alias("unit")).groupBy("country", "key").agg(F.min("unit").alias("unit"))
-    marked = typed.join(listed, ["country", "key"], "left")
+    marked = written(typed.join(listed, ["country", "key"], "left"), "typed-names")  # read several times below
     reference = boundaries.select(c("iso3").alias("country"), c("adm_1_name").alias("name"), c("p_code").alias("unit"), c("adm_0_name").alias("country_name"))
     found = map_names(
         marked.where("unit is null").drop("unit", "key"),

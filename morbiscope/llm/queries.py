@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morbiscope.llm import layout_copies as L
-from morbiscope.llm import canon_names, packing, tree_tokenizer
+from morbiscope.llm import canon_names, packing, surrogates, tree_tokenizer
 from morbiscope.runtime import table
 
 
@@ -34,8 +34,19 @@ def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "packing_capacity"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal information in every document."""
+    found = surrogates.protect_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"), texts=False)
+    return found.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.kind", "e.start_pos", "e.end_pos")
+
+
+def p9_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders, and with surrogates, in place of personal information."""
+    return surrogates.protect_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts")).drop("entities")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_packing": p8_packing}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_packing": p8_packing, "p9_found": p9_found, "p9_protected": p9_protected}
 
 
 def _bare(x: str) -> str:
