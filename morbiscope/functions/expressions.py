@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -186,8 +187,6 @@ def _unescaped():
     """Arrow-batched decoding of HTML entities; Spark has no built-in for the named ones."""
     from html import unescape
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: unescape(t) if isinstance(t, str) and "&" in t else t)

@@ -26,7 +26,7 @@ NEWS = {
     "guid": "string", "title": "string", "description": "string", "iso3": "string", "feed_gl": "string", "feed_query": "string", "link": "string", "pubDate": "timestamp",
     "source_url": "string", "_source_file": "string", "_source": "string", "_bronze_ingested_at": "timestamp", "_silver_ingested_at": "timestamp",
 }
-GRAIN = ["iso3", "adm_1_name", "p_code", "start_date", "t_res", "s_res"]
+GRAIN = ["adm_0_name", "adm_1_name", "iso3", "p_code", "start_date", "year", "s_res", "t_res"]
 NATIONAL, ADMIN1 = ["iso3"], ["iso3", "adm_1_name", "p_code"]
 
 Result = tuple[DataFrame, list[Check]]
@@ -40,8 +40,10 @@ def _typed(df: DataFrame, contract: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in contract.items()])
 
 
-def clean_counts(raw: DataFrame, *, as_of: date, processed_at: datetime, source: str = "opendengue") -> Result:
-    """All-string case counts as history rows: typed, valid, one case series per grain."""
+DEFINITIONS = ["total", "suspected and confirmed", "confirmed"]
+
+
+def _valid_counts(raw: DataFrame, as_of: date, source: str) -> DataFrame:
     require_columns(raw, ["adm_0_name", "adm_1_name", "ISO_A0", "RNE_iso_code", "calendar_start_date", "Year", "dengue_total", "S_res", "T_res", "case_definition_standardised", "_source", "_source_file", "_ingested_at"], "counts")
     c = F.col
     level = F.upper(X.clean_text(c("S_res")))
@@ -60,7 +62,7 @@ def clean_counts(raw: DataFrame, *, as_of: date, processed_at: datetime, source:
         X.instant(c("_ingested_at")).alias("_bronze_ingested_at"),
         F.lower(X.clean_text(c("case_definition_standardised"))).alias("definition"),
     )
-    valid = rows.where(
+    return rows.where(
         all_of(
             c("adm_0_name").isNotNull(),
             c("iso3").rlike("^[A-Z]{3}$"),
@@ -74,11 +76,22 @@ def clean_counts(raw: DataFrame, *, as_of: date, processed_at: datetime, source:
             c("_bronze_ingested_at").isNotNull(),
         )
     )
-    rank = X.preference(c("definition"), ["total", "suspected and confirmed", "confirmed"])
-    best, checks = best_per_key(valid, GRAIN, rank, ["dengue_total"], [c("_bronze_ingested_at").desc(), c("_source_file").asc()], "counts")
+
+
+def clean_counts(raw: DataFrame, *, as_of: date, processed_at: datetime, source: str = "opendengue") -> Result:
+    """All-string case counts as history rows: typed, valid, one case series per grain."""
+    rank = X.preference(F.col("definition"), DEFINITIONS)
+    order = [F.col("_bronze_ingested_at").desc(), F.col("_source_file").asc()]
+    best, checks = best_per_key(_valid_counts(raw, as_of, source), GRAIN, rank, ["dengue_total"], order, "counts")
     return _typed(best.withColumn("_silver_ingested_at", _stamp(processed_at)), HISTORY), checks
 
 
+def count_candidates(raw: DataFrame, *, as_of: date, source: str = "opendengue") -> DataFrame:
+    """Per grain the best rank of its case definitions, and how many valid rows competed for it."""
+    ranked = _valid_counts(raw, as_of, source).withColumn("best_rank", X.preference(F.col("definition"), DEFINITIONS))
+    return ranked.groupBy(*GRAIN).agg(F.min("best_rank").alias("best_rank"), F.count("*").alias("candidates"))
+
+
 def clean_snapshot(raw: DataFrame, *, as_of: date, processed_at: datetime, source: str = "who_gho") -> Result:
     """All-string national counts of one snapshot as history rows; missing month dates are derived."""
     require_columns(raw, ["COUNTRY", "ISO3", "YEAR", "DATE_TYPE", "DATE_NUM", "START_DATE", "CASES", "_source", "_source_file", "_ingested_at"], "snapshot")

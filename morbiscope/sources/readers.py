@@ -17,7 +17,7 @@ from morbiscope.operators.checks import ContractError
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """CSV with a header; every column a string, quoted cells may hold line breaks and doubled quotes."""
+    """CSV with a header; every column a string, quoted cells may hold line breaks (read as ``\\n``) and doubled quotes."""
     return spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False).csv(path)
 
 
