@@ -15,7 +15,7 @@ from morbiscope.operators import mapping as M
 from morbiscope.operators import periods as P
 from morbiscope.operators import quality as Q
 from morbiscope.plans import pipelines
-from morbiscope.runtime import fresh_dir, table
+from morbiscope.runtime import fresh_dir, table, written
 from morbiscope.sources import readers as R
 from morbiscope.sources.store import TableStore
 
@@ -76,7 +76,7 @@ bm as (select * from r x where feed = 'B' and t_res = 'month' and not exists (se
 select * from a2 union all select * from ay union all select * from bw union all select * from bm"""
 )
 def period_history(spark, sf):
-    rows = _order_periods(spark, sf)
+    rows = written(_order_periods(spark, sf), "order-periods")  # eight branches read it
     a, b = rows.where("feed = 'A'"), rows.where("feed = 'B'")
     own, _ = P.finest_first(a, ["cust"], "A")
     filled, _ = P.fill_from_secondary(a, b, ["cust"], ["week", "month"], "B")
