@@ -12,6 +12,7 @@ from morbiscope.operators import mapping as M
 from morbiscope.operators import periods as P
 from morbiscope.operators.checks import Check, all_of, conflicting_keys, dependency_breaks, duplicate_keys, require_columns, require_schema
 from morbiscope.operators.latest import best_per_key, first_per_key, with_parents
+from morbiscope.runtime import written
 
 # Contracts of the typed tables.
 HISTORY = {
@@ -138,7 +139,8 @@ def build_history(rows: DataFrame, primary: str = "opendengue", secondary: str =
     require_schema(rows, HISTORY, "history")
     c = F.col
     kept = rows.where((c("s_res") == "Admin0") | ((c("s_res") == "Admin1") & (c("_source") == primary)))
-    timed = P.with_period(kept.withColumn("adm_1_name", X.compact_title(c("adm_1_name"))))
+    # Every selection step reads these rows again, so they are cleaned and written once.
+    timed = written(P.with_period(kept.withColumn("adm_1_name", X.compact_title(c("adm_1_name")))), "history-periods")
     bad = timed.where(
         ~all_of(
             c("iso3").isNotNull(),
