@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+try:
+    import ahocorasick
+except ImportError:  # words are looked up one by one then
+    ahocorasick = None
+
 # White space inside an entity, as typed or laid out (no line break).
 _S = "[ \t   -​  　]"
 _SS = _S + "{1,3}"
@@ -170,6 +176,25 @@ class NameLexicon:
             for w in words:
                 self.split[w] = (position, w[: best.get(w, len(w))], w[best.get(w, len(w)) :])
 
+        self.automaton = None
+        if ahocorasick and self.split:
+            self.automaton = ahocorasick.Automaton()
+            for word, (position, _, _) in self.split.items():
+                self.automaton.add_word(word, (len(word), position))
+            self.automaton.make_automaton()
+
+    def parts(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, position) of every whole word that is a part, in any letter case."""
+        small = text.lower()
+        if self.automaton is None or len(small) != len(text):  # lower case may be longer, which moves positions
+            return [(m.start(), m.end(), hit[0]) for m in _LETTERS.finditer(text) if (hit := self.split.get(m.group().lower()))]
+        found, n = [], len(text)
+        for last, (size, position) in self.automaton.iter(small):
+            start, end = last - size + 1, last + 1
+            if not (start and text[start - 1].isalpha()) and not (end < n and text[end].isalpha()):
+                found.append((start, end, position))
+        return found
+
     def kind(self, word: str) -> str | None:
         hit = self.split.get(word.lower())
         return hit[0] if hit else None
@@ -187,8 +212,7 @@ _BEFORE = re.compile(rf"(?:{'|'.join(map(re.escape, sorted(INSTITUTION_BEFORE, k
 
 def name_spans(text: str, lexicon: NameLexicon) -> list[Span]:
     """Runs of name parts: at least two, or one with an initial."""
-    split = lexicon.split
-    found = [(m.start(), m.end(), hit[0]) for m in _LETTERS.finditer(text) if (hit := split.get(m.group().lower()))]
+    found = lexicon.parts(text)
     spans, i = [], 0
     while i < len(found):
         start, end, kind = found[i]
@@ -227,9 +251,14 @@ def find_entities(text: str | None, lexicon: NameLexicon) -> list[Span]:
     taken: list[tuple[int, int]] = []
 
     def offer(new: Iterable[Span]) -> None:
-        kept = [s for s in new if not any(s.start < b and a < s.end for a, b in taken)]
+        kept = []
+        for s in new:
+            at = bisect_left(taken, (s.end, -1))  # spans before it begin earlier than this one ends
+            if not (at and taken[at - 1][1] > s.start):
+                kept.append(s)
         spans.extend(kept)
         taken.extend((s.start, s.end) for s in kept)
+        taken.sort()
 
     offer(Span("email", m.start(), m.end()) for m in _matches(text, EMAIL, _EMAIL_CUE))
     offer(Span("address", m.start(), m.end()) for m in _matches(text, ADDRESS, _ADDRESS_CUE))

@@ -12,6 +12,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ _KEPT_WORDS = frozenset(
 class Surrogates:
     """Replacements for entities under one key."""
 
-    ROUNDS = 6
+    ROUNDS = 4
 
     def __init__(self, key: str, lexicon: NameLexicon):
         self.key, self.lexicon = key.encode(), lexicon
@@ -116,8 +117,11 @@ class Surrogates:
         return re.sub(r"[^\W\d_]+", one, text)
 
     def replace(self, kind: str, text: str, known: dict[str, str]) -> str:
-        if kind == "name":
-            return self.name(text, known)
+        """The surrogate of one entity; ``known`` carries the initials met in its document."""
+        return self.name(text, known) if kind == "name" else self._other(kind, text)
+
+    @lru_cache(maxsize=50_000)  # noqa: B019
+    def _other(self, kind: str, text: str) -> str:
         keep = [m.span() for m in re.finditer(r"[^\W\d_]+", text) if m.group().lower() in _KEPT_WORDS] if kind in ("address", "email") else []
         if kind == "phone":  # the country code, or the trunk zero, says where the number belongs
             keep = [m.span() for m in [re.match(r"\+\d{3}|00\d{3}|\(?0", text)] if m] + [m.span() for m in re.finditer(r"(?i)ext|x|ramal|loc\w*", text)]
