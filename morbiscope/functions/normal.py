@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 # Texts that stand for a missing value.
 PLACEHOLDERS = ("", "NA", "N/A", "NULL", "NONE")
 
-_EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Every character that is white space, the separators U+001C to U+001F included.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim_all(text: Column) -> Column:
     """``text`` without surrounding white space of any kind, Unicode spaces included."""
-    return F.regexp_replace(text, _EDGE, "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def key_upper(text: Column) -> Column:
@@ -43,18 +44,18 @@ def parse_day(text: Column) -> Column:
     Anything else, and days that do not exist, give null.
     """
     trimmed = trim_all(text)
-    iso = F.regexp_replace(trimmed, r"^(\d{4})([-/.]?)(\d{2})\2(\d{2})(?:[T ].*)?$", "$1-$3-$4")
-    return F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(iso, "yyyy-MM-dd"))
+    usable = trimmed.rlike(r"^(?!0000)\d{4}([-/.]?)\d{2}\1\d{2}(?:[T ].*)?$")
+    digits = F.translate(F.substring(trimmed, 1, 10), "-/.", "")
+    iso = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))
+    return F.when(usable, iso.try_cast("date"))
 
 
 def parse_instant(text: Column) -> Column:
     """An instant (timestamp) from ISO-8601 text; text without a zone is UTC, bad text gives null."""
     trimmed = trim_all(text)
-    zoned = F.when(trimmed.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$") & trimmed.rlike(r"\d:\d"), trimmed).otherwise(
-        F.concat(trimmed, F.lit("Z"))
-    )
-    dated = F.when(trimmed.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(trimmed, F.lit("T00:00:00Z"))).otherwise(zoned)
-    return F.try_to_timestamp(dated)
+    zoned = trimmed.rlike(r"\d:\d.*(?:[Zz]|[+-]\d{2}:?\d{2})$")
+    full = F.when(zoned, trimmed).when(F.length(trimmed) == 10, F.concat(trimmed, F.lit("T00:00:00Z"))).otherwise(F.concat(trimmed, F.lit("Z")))
+    return F.try_to_timestamp(full)
 
 
 def instant_micros(text: Column) -> Column:
@@ -69,5 +70,5 @@ def parse_number(text: Column) -> Column:
 
 def parse_int(text: Column) -> Column:
     """An integer by value, null where the text is no whole number."""
-    number = parse_number(text)
-    return F.when(number == F.floor(number), number.try_cast("int"))
+    trimmed, number = trim_all(text), parse_number(text)
+    return F.when(trimmed.rlike(r"^\d{1,9}$"), trimmed.cast("int")).when(number == F.floor(number), number.try_cast("int"))
