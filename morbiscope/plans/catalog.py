@@ -222,7 +222,8 @@ select delivery_id, case when d like '%-0000' then null else cast(coalesce(try_s
 )
 def rfc822_parse(spark, sf):
     n = table(spark, sf, "news_rss").select("delivery_id", X.rfc822(c("pubDate")).alias("p"))
-    return n.select("delivery_id", F.timestamp_micros(F.unix_micros("p")).cast("timestamp_ntz").alias("published"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")  # whatever the session's zone is
+    return n.select("delivery_id", (epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_seconds("p"))).alias("published"))
 
 
 @query()

@@ -149,3 +149,11 @@ def fetch_each(jobs: dict[str, Callable[[], str]], cap: int | None = None) -> tu
     if cap is not None and len(done) > cap:
         failed["cap"] = f"more than {cap} parts"
     return done, failed
+
+
+def boundary_download(get: Getter, metadata_url: str, target: str) -> tuple[str, str]:
+    """(version, path): the metadata names the boundary's id, which is its version, and its GeoJSON."""
+    meta = get_json(get, metadata_url)
+    if not meta.get("boundaryID") or not meta.get("gjDownloadURL"):
+        raise ContractError(f"{metadata_url}: no boundary")
+    return str(meta["boundaryID"]), download(get, meta["gjDownloadURL"], target)
