@@ -55,14 +55,16 @@ def refine_copies(rows: DataFrame, id_col: str, refinements: Sequence[Sequence[C
     only met again in joins that AQE may split. No group is ever collected.
     """
     key: Column = F.lit(0).cast("long")
-    now = rows
+    now, name = rows, "class_key"
+    while name in rows.columns:
+        name += "_"
     for level, invariants in enumerate(refinements):
-        now = now.withColumn("class_key", F.xxhash64(key, *invariants))
-        several = now.groupBy("class_key").count().where("count > 1").select("class_key")
-        now = now.join(several, "class_key", "left_semi")
+        now = now.withColumn(name, F.xxhash64(key, *invariants))
+        several = now.groupBy(name).agg(F.count("*").alias("members")).where("members > 1").select(name)
+        now = now.join(several, name, "left_semi")
         if level == 0:  # what is left is met several times from here on
             now = written(now, "copies")
-        key = F.col("class_key")
+        key = F.col(name)
     keyed = now.select(F.xxhash64(key, *[F.col(c) for c in exact]).alias("class_key"), F.col(id_col).alias("row_id"), *[F.col(c).alias(f"x_{c}") for c in exact])
     xs = [f"x_{c}" for c in exact]
     groups = keyed.groupBy("class_key", *xs).agg(F.min("row_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")

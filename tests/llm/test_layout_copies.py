@@ -17,6 +17,7 @@ def test_places(spark):
         od(5, "VIET NAM", "Hai Phong"), od(3, "viet-nam", " HAI.PHONG"), od(9, "Haiphong", "Viet  Nam"), od(1, "Viet Nam", "Hải Phong"), od(2, "VIET NAM", "Hai Phong", "2021"),
         od(20, None, "x"), od(21, "X ", None), od(22, "", "x"), od(23, None, None), od(24, None, None), od(30, "ab", "ba"), od(31, "ba", "ab"), od(32, "aab", "b"),
     ]
+    rows.append((6, *od(6, "VIET NAM", "Hai Phong")[1:5], "other", "s", "f", "6"))  # a column of its own named like an internal one
     df = spark.createDataFrame(rows, OD)
     assert pairs(L.place_copies(df)) == [(3, 5, 3), (3, 9, 3), (20, 21, 2), (23, 24, 2), (30, 31, 2)]
     assert pairs(L.place_copies(df.limit(0))) == []
