@@ -16,7 +16,9 @@ from morbiscope.functions.normal import PLACEHOLDERS
 # ---- text ---------------------------------------------------------------------------------------------------
 def clean_text(text: Column) -> Column:
     """Runs of (ASCII) white space as one blank, trimmed; placeholders become null."""
-    tidy = F.trim(F.regexp_replace(text, r"\s+", " "))
+    blank = F.translate(text, "\t\n\x0b\f\r", "     ")
+    # Most texts hold no run of blanks, and need no regular expression.
+    tidy = F.trim(F.when(F.contains(blank, F.lit("  ")), F.regexp_replace(blank, " +", " ")).otherwise(blank))
     return F.when(~F.upper(tidy).isin(*PLACEHOLDERS), tidy)
 
 

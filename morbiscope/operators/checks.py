@@ -76,3 +76,12 @@ def matching(df: DataFrame, **equals: object) -> DataFrame:
     for name, value in equals.items():
         df = df.where(F.col(name) == F.lit(value)) if name in df.columns else df.limit(0)
     return df
+
+
+def parsed(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df.select(*columns)`` whose expressions are evaluated once.
+
+    The optimiser would repeat costly expressions in every filter it pushes below the projection. A column
+    that it must not move (the partition id) keeps later filters above it; it is dropped again.
+    """
+    return df.select(*columns, F.spark_partition_id().alias("__held")).where("__held >= 0").drop("__held")

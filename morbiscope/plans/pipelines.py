@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from morbiscope.functions import expressions as X
 from morbiscope.operators import mapping as M
 from morbiscope.operators import periods as P
-from morbiscope.operators.checks import Check, all_of, conflicting_keys, dependency_breaks, duplicate_keys, require_columns, require_schema
+from morbiscope.operators.checks import Check, all_of, conflicting_keys, dependency_breaks, duplicate_keys, parsed, require_columns, require_schema
 from morbiscope.operators.latest import best_per_key, first_per_key, with_parents
 from morbiscope.runtime import written
 
@@ -48,7 +48,8 @@ def _valid_counts(raw: DataFrame, as_of: date, source: str) -> DataFrame:
     require_columns(raw, ["adm_0_name", "adm_1_name", "ISO_A0", "RNE_iso_code", "calendar_start_date", "Year", "dengue_total", "S_res", "T_res", "case_definition_standardised", "_source", "_source_file", "_ingested_at"], "counts")
     c = F.col
     level = F.upper(X.clean_text(c("S_res")))
-    rows = raw.where(level.isin("ADMIN0", "ADMIN1")).select(
+    rows = parsed(
+        raw.where(level.isin("ADMIN0", "ADMIN1")),
         X.hyphen_title(c("adm_0_name")).alias("adm_0_name"),
         X.compact_title(c("adm_1_name")).alias("adm_1_name"),
         F.upper(X.clean_text(c("ISO_A0"))).alias("iso3"),
@@ -100,7 +101,8 @@ def clean_snapshot(raw: DataFrame, *, as_of: date, processed_at: datetime, sourc
     kind, number, year = F.lower(X.clean_text(c("DATE_TYPE"))), X.digits_as(c("DATE_NUM"), "int", r"\d{1,2}"), X.digits_as(c("YEAR"), "int", r"\d{4}")
     given = X.clean_text(c("START_DATE"))
     start = F.when(given.isNotNull(), X.day(given)).when(kind == "month", X.month_start(year, number))
-    rows = raw.select(
+    rows = parsed(
+        raw,
         X.hyphen_title(c("COUNTRY")).alias("adm_0_name"),
         F.lit(None).cast("string").alias("adm_1_name"),
         F.upper(X.clean_text(c("ISO3"))).alias("iso3"),
@@ -185,7 +187,8 @@ def check_countries(rows: DataFrame, boundaries: DataFrame, label: str) -> Resul
 def clean_boundaries(raw: DataFrame, *, processed_at: datetime, source: str = "hdx_cod_ab") -> Result:
     """Units with a point (their own, else the centre) and one derived row per country."""
     c = F.col
-    units = raw.where("_sheet = 'admin1'").select(
+    units = parsed(
+        raw.where("_sheet = 'admin1'"),
         F.upper(X.clean_text(c("iso3"))).alias("iso3"),
         X.hyphen_title(c("adm0_name")).alias("adm_0_name"),
         X.compact_title(c("adm1_name")).alias("adm_1_name"),
@@ -222,7 +225,8 @@ def clean_boundaries(raw: DataFrame, *, processed_at: datetime, source: str = "h
 def clean_news(raw: DataFrame, *, processed_at: datetime, source: str = "news_rss") -> Result:
     """Articles with plain text and instants, the newest fetch per article and feed."""
     c = F.col
-    rows = raw.select(
+    rows = parsed(
+        raw,
         X.clean_text(c("guid")).alias("guid"),
         X.plain_title(c("title")).alias("title"),
         X.html_text(c("description")).alias("description"),
