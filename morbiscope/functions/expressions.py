@@ -106,6 +106,7 @@ def log_scale(value: Column) -> Column:
     return F.when(value > 0, F.log10(value))
 
 
+# Offsets of the zone names that RFC 822 knows.
 _ZONES = {"UT": "+0000", "GMT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 
 

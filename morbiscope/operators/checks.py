@@ -71,6 +71,16 @@ def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in conditions], F.lit(True))
 
 
+def rules(*conditions: Column, required: Sequence[str] = (), patterns: Mapping[str, str] | None = None, allowed: Mapping[str, Sequence] | None = None) -> Column:
+    """One predicate from declared rules: present columns, texts of a shape, values of a list, and others."""
+    return all_of(
+        *[F.col(n).isNotNull() for n in required],
+        *[F.col(n).rlike(f"^(?:{p})$") for n, p in (patterns or {}).items()],
+        *[F.col(n).isin(*v) for n, v in (allowed or {}).items()],
+        *conditions,
+    )
+
+
 def matching(df: DataFrame, **equals: object) -> DataFrame:
     """Rows with the given values; a column the table lacks matches nothing."""
     for name, value in equals.items():

@@ -517,6 +517,22 @@ def counts_grain(spark, sf):
     return pipelines.count_candidates(latest, as_of=AS_OF)
 
 
+_SNAP_DAY = f"case when {_clean('START_DATE')} is not null then case when regexp_full_match({_clean('START_DATE')}, '[0-9]+-[0-9]+-[0-9]+') and length({_clean('START_DATE')}) = 10 then try_cast({_clean('START_DATE')} as date) end when kind = 'month' and num between 1 and 12 then make_date(yr, num, 1) end"
+
+
+@query(
+    f"""with s as (select *, lower({_clean('DATE_TYPE')}) as kind, {_digits('DATE_NUM', '[0-9][0-9]?', 'int')} as num, {_digits('YEAR', '[0-9][0-9][0-9][0-9]', 'int')} as yr, {_digits('CASES', '[0-9]+', 'bigint')} as n, upper({_clean('ISO3')}) as iso
+  from who_gho where ingestion_date = (select max(ingestion_date) from who_gho)),
+v as (select *, {_SNAP_DAY} as sd from s)
+select iso as iso3, yr as year, kind as t_res, num as number, count(*) as candidates, min(sd) as first_start, max(sd) as last_start, cast(sum(n) as bigint) as cases from v
+where {_clean('COUNTRY')} is not null and regexp_full_match(iso, '[A-Z][A-Z][A-Z]') and yr is not null and ((kind = 'month' and num between 1 and 12) or (kind in ('isoweek', 'epiweek') and num between 1 and 53))
+  and sd <= date '2026-10-15' and n is not null and {_clean('_source')} = 'who_gho' and {_clean('_source_file')} is not null and try_cast({_clean('_ingested_at')} as timestamptz) is not null group by 1, 2, 3, 4"""
+)
+def snapshot_grain(spark, sf):
+    latest = L.rows_of_latest_snapshot(table(spark, sf, "who_gho"), "ingestion_date")
+    return pipelines.snapshot_candidates(latest, as_of=AS_OF)
+
+
 @query()
 def counts_clean(spark, sf):
     latest = L.rows_of_latest_version(table(spark, sf, "opendengue"), "release")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from morbiscope.operators.checks import require_rows
 from morbiscope.plans.runs import RunRecord
-from morbiscope.sources.readers import read_jsonl, with_lineage
+from morbiscope.sources.readers import file_column, read_jsonl, with_lineage
 from morbiscope.sources.store import TableStore, all_ingested
 
 
@@ -80,8 +80,8 @@ def ingest(spark: SparkSession, source: Source, root: str, record: RunRecord, in
             df = source.scope(df)
         if not source.snapshot:
             require_rows(df, f"{source.name}/{table}")
-        file = F.lit(f"{source.name}/{version}") if "_metadata" not in df.columns and not df.inputFiles() else None
-        stamped = with_lineage(df, source.name, stamp, source_file=file).withColumn("_fingerprint", F.lit(fingerprint))
+        file = file_column(df)
+        stamped = with_lineage(df, source.name, stamp, source_file=F.lit(f"{source.name}/{version}") if file is None else file).withColumn("_fingerprint", F.lit(fingerprint))
         store.check_compatible(stamped.withColumn(source.partition_column, F.lit(version)).schema, strings_only=True)
         store.replace_partition(stamped, version, strings_only=True)
         rows += store.ingested_rows(**{source.partition_column: version})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from morbiscope.functions import expressions as X
 from morbiscope.operators import mapping as M
 from morbiscope.operators import periods as P
-from morbiscope.operators.checks import Check, all_of, conflicting_keys, dependency_breaks, duplicate_keys, parsed, require_columns, require_schema
+from morbiscope.operators.checks import Check, all_of, conflicting_keys, dependency_breaks, duplicate_keys, parsed, require_columns, require_schema, rules
 from morbiscope.operators.latest import best_per_key, first_per_key, with_parents
 from morbiscope.runtime import written
 
@@ -28,6 +28,8 @@ NEWS = {
     "source_url": "string", "_source_file": "string", "_source": "string", "_bronze_ingested_at": "timestamp", "_silver_ingested_at": "timestamp",
 }
 GRAIN = ["adm_0_name", "adm_1_name", "iso3", "p_code", "start_date", "year", "s_res", "t_res"]
+PRESENT = ["adm_0_name", "year", "dengue_total", "_source_file", "_bronze_ingested_at"]
+ISO3 = "[A-Z]{3}"
 NATIONAL, ADMIN1 = ["iso3"], ["iso3", "adm_1_name", "p_code"]
 
 Result = tuple[DataFrame, list[Check]]
@@ -64,20 +66,8 @@ def _valid_counts(raw: DataFrame, as_of: date, source: str) -> DataFrame:
         X.instant(c("_ingested_at")).alias("_bronze_ingested_at"),
         F.lower(X.clean_text(c("case_definition_standardised"))).alias("definition"),
     )
-    return rows.where(
-        all_of(
-            c("adm_0_name").isNotNull(),
-            c("iso3").rlike("^[A-Z]{3}$"),
-            c("start_date") <= F.lit(as_of),
-            c("year").isNotNull(),
-            c("dengue_total").isNotNull(),
-            c("t_res").isin("epiweek", "month", "year"),
-            (c("s_res") == "Admin0") | c("adm_1_name").isNotNull(),
-            c("_source") == source,
-            c("_source_file").isNotNull(),
-            c("_bronze_ingested_at").isNotNull(),
-        )
-    )
+    named = (c("s_res") == "Admin0") | c("adm_1_name").isNotNull()
+    return rows.where(rules(c("start_date") <= F.lit(as_of), named, required=PRESENT, patterns={"iso3": ISO3}, allowed={"t_res": ["epiweek", "month", "year"], "_source": [source]}))
 
 
 def clean_counts(raw: DataFrame, *, as_of: date, processed_at: datetime, source: str = "opendengue") -> Result:
@@ -94,8 +84,10 @@ def count_candidates(raw: DataFrame, *, as_of: date, source: str = "opendengue")
     return ranked.groupBy(*GRAIN).agg(F.min("best_rank").alias("best_rank"), F.count("*").alias("candidates"))
 
 
-def clean_snapshot(raw: DataFrame, *, as_of: date, processed_at: datetime, source: str = "who_gho") -> Result:
-    """All-string national counts of one snapshot as history rows; missing month dates are derived."""
+SNAPSHOT_KEY = ["iso3", "year", "t_res", "number"]
+
+
+def _valid_snapshot(raw: DataFrame, as_of: date, source: str) -> DataFrame:
     require_columns(raw, ["COUNTRY", "ISO3", "YEAR", "DATE_TYPE", "DATE_NUM", "START_DATE", "CASES", "_source", "_source_file", "_ingested_at"], "snapshot")
     c = F.col
     kind, number, year = F.lower(X.clean_text(c("DATE_TYPE"))), X.digits_as(c("DATE_NUM"), "int", r"\d{1,2}"), X.digits_as(c("YEAR"), "int", r"\d{4}")
@@ -117,25 +109,25 @@ def clean_snapshot(raw: DataFrame, *, as_of: date, processed_at: datetime, sourc
         X.instant(c("_ingested_at")).alias("_bronze_ingested_at"),
         number.alias("number"),
     )
-    valid = rows.where(
-        all_of(
-            c("adm_0_name").isNotNull(),
-            c("iso3").rlike("^[A-Z]{3}$"),
-            c("year").isNotNull(),
-            ((c("t_res") == "month") & c("number").between(1, 12)) | (c("t_res").isin("isoweek", "epiweek") & c("number").between(1, 53)),
-            c("start_date") <= F.lit(as_of),
-            c("dengue_total").isNotNull(),
-            c("_source") == source,
-            c("_source_file").isNotNull(),
-            c("_bronze_ingested_at").isNotNull(),
-        )
-    )
-    key = ["iso3", "year", "t_res", "number"]
-    checks = [Check("snapshot: conflicting counts or dates within one key", conflicting_keys(valid, key, ["dengue_total", "start_date"]))]
-    best = first_per_key(valid, key, [c("_bronze_ingested_at").desc(), c("_source_file").asc()])
+    in_year = F.when(c("t_res") == "month", c("number") <= 12).when(c("t_res").isin("isoweek", "epiweek"), c("number") <= 53)
+    return rows.where(rules(c("start_date") <= F.lit(as_of), in_year, c("number") >= 1, required=PRESENT, patterns={"iso3": ISO3}, allowed={"_source": [source]}))
+
+
+def clean_snapshot(raw: DataFrame, *, as_of: date, processed_at: datetime, source: str = "who_gho") -> Result:
+    """All-string national counts of one snapshot as history rows; missing month dates are derived."""
+    valid = _valid_snapshot(raw, as_of, source)
+    checks = [Check("snapshot: conflicting counts or dates within one key", conflicting_keys(valid, SNAPSHOT_KEY, ["dengue_total", "start_date"]))]
+    best = first_per_key(valid, SNAPSHOT_KEY, [F.col("_bronze_ingested_at").desc(), F.col("_source_file").asc()])
     return _typed(best.withColumn("_silver_ingested_at", _stamp(processed_at)), HISTORY), checks
 
 
+def snapshot_candidates(raw: DataFrame, *, as_of: date, source: str = "who_gho") -> DataFrame:
+    """Per key the valid rows of a snapshot, their dates and their counts."""
+    return _valid_snapshot(raw, as_of, source).groupBy(*SNAPSHOT_KEY).agg(
+        F.count("*").alias("candidates"), F.min("start_date").alias("first_start"), F.max("start_date").alias("last_start"), F.sum("dengue_total").alias("cases")
+    )
+
+
 def build_history(rows: DataFrame, primary: str = "opendengue", secondary: str = "who_gho") -> Result:
     """Non-overlapping periods per location: the primary source's finest, filled from the secondary where it has none."""
     require_schema(rows, HISTORY, "history")
@@ -204,8 +196,8 @@ def clean_boundaries(raw: DataFrame, *, processed_at: datetime, source: str = "h
     points = raw.where("_sheet = 'adminpoints' and admin_level = '1'").select(
         F.upper(X.clean_text(c("iso3"))).alias("iso3"), X.clean_text(c("adm1_pcode")).alias("p_code"), X.real(c("x_coord")).alias("px"), X.real(c("y_coord")).alias("py")
     )
-    needed = ["adm_0_name", "adm_1_name", "country_code", "p_code", "valid_on", "_source_file", "_bronze_ingested_at"]
-    complete = all_of(c("iso3").rlike("^[A-Z]{3}$"), c("_source") == source, *[c(n).isNotNull() for n in needed])
+    present = ["adm_0_name", "adm_1_name", "country_code", "p_code", "valid_on", "_source_file", "_bronze_ingested_at"]
+    complete = rules(required=present, patterns={"iso3": ISO3}, allowed={"_source": [source]})
     placed = M.enrich(units, points, ["iso3", "p_code"], {"x_coord": ("px", "cx"), "y_coord": ("py", "cy")})
     on_earth = all_of(~F.isnan("x_coord"), ~F.isnan("y_coord"), c("x_coord").between(-180, 180), c("y_coord").between(-90, 90))
     checks = [
@@ -241,12 +233,8 @@ def clean_news(raw: DataFrame, *, processed_at: datetime, source: str = "news_rs
         X.instant(c("_ingested_at")).alias("_bronze_ingested_at"),
         X.instant(c("_fetched_at")).alias("fetched"),
     )
-    valid = rows.where(
-        all_of(
-            c("guid").isNotNull(), c("title").isNotNull(), c("iso3").rlike("^[A-Z]{3}$"), c("feed_gl").rlike("^[A-Z]{2}$"), c("feed_query").isNotNull(), c("link").rlike(r"^https?://\S+$"),
-            c("pubDate").isNotNull(), c("_source") == source, c("_source_file").isNotNull(), c("_bronze_ingested_at").isNotNull(), c("fetched").isNotNull(),
-        )
-    )
+    present = ["guid", "title", "feed_query", "pubDate", "_source_file", "_bronze_ingested_at", "fetched"]
+    valid = rows.where(rules(required=present, patterns={"iso3": ISO3, "feed_gl": "[A-Z]{2}", "link": r"https?://\S+"}, allowed={"_source": [source]}))
     order = [c("fetched").desc(), c("_bronze_ingested_at").desc(), c("_source_file").asc(), c("link").asc(), c("title").asc()]
     kept = first_per_key(valid, ["guid", "iso3", "feed_gl", "feed_query"], order)
     return _typed(kept.withColumn("_silver_ingested_at", _stamp(processed_at)), NEWS), []

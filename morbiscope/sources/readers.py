@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Sequence
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
@@ -107,6 +108,15 @@ def sheet_to_csv(workbook: str, sheet: str, target: str) -> dict[str, str]:
     return names
 
 
+def file_column(df: DataFrame) -> Column | None:
+    """The path of each row's file below the landing folder, where the frame still is a file scan."""
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return None
+    return below(F.col("_metadata.file_path"), "landing")
+
+
 def with_lineage(df: DataFrame, source: str, ingested_at: str, ingestion_date: str | None = None, source_file: Column | None = None) -> DataFrame:
     """``_source``, ``_ingested_at``, ``_source_file`` (below the landing folder) and the partition day."""
     file = source_file if source_file is not None else below(F.col("_metadata.file_path"), "landing")
