@@ -60,3 +60,10 @@ def test_frame_with_nulls_repeats_and_batches(spark):
         assert D.periods_and_gaps(df.limit(0), key="group_key", start="s", end="e").count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_series_that_holds_a_third_of_the_rows(spark):
+    rows = spark.range(30000).selectExpr("case when id % 3 = 0 then 'hot' else concat('k', id) end as k", "date_add(date'2000-01-01', cast((id % 900) * 8 as int)) as s").selectExpr("k", "s", "date_add(s, 7) as e")
+    out = D.periods_and_gaps(rows, key="k", start="s", end="e")
+    hot = out.where("group_key = 'hot'").groupBy("span_kind").count().collect()
+    assert {r[0]: r[1] for r in hot} == {"period": 300, "gap": 299} and out.count() == 20000 + 599

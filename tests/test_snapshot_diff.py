@@ -26,3 +26,17 @@ def test_latest_row_of_a_snapshot_holds_whatever_the_order(spark):
 
 def test_one_snapshot_and_none(spark):
     assert diff(spark, [("a", 1, "1", 5, "")]) == [] == diff(spark, [])
+
+
+def test_record_repeated_over_a_third_of_the_table(spark):
+    rows = spark.range(6000).selectExpr("case when id % 3 = 0 then 'hot' else concat('k', id div 2) end as k", "cast(id % 5 as int) as v", "cast(id % 2 as string) as day", "cast(id as int) as at", "'' as change_kind")
+    got = {r["k"]: r["change_kind"] for r in snapshot_changes(rows, ["k"], ["v"], "day", "at").collect()}
+    last = {}
+    for i in range(6000):
+        last["hot" if i % 3 == 0 else f"k{i // 2}", i % 2] = i % 5
+    want = {}
+    for k in {k for k, _ in last}:
+        a, b = last.get((k, 0)), last.get((k, 1))
+        if a != b:
+            want[k] = "added" if a is None else "removed" if b is None else "changed"
+    assert got == want and "hot" in want
