@@ -22,6 +22,25 @@ def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False).csv(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV that ``read_csv`` gives back whole: cells keep carriage returns, outer blanks, and null apart from empty.
+
+    Cells are escaped before quoting: a backslash is ``\\b``, a carriage return ``\\r``, empty ``\\E``, null ``\\N``; see ``csv_value``.
+    """
+    cells = [_csv_cell(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns]
+    df.select(*cells).write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def _csv_cell(c: Column) -> Column:
+    kept = F.replace(F.replace(c, F.lit("\\"), F.lit("\\b")), F.lit("\r"), F.lit("\\r"))
+    return F.when(c == "", F.lit("\\E")).otherwise(F.coalesce(kept, F.lit("\\N")))
+
+
+def csv_value(c: Column) -> Column:
+    """The text behind a cell of ``write_csv``."""
+    return F.when(c == "\\E", F.lit("")).when(c != "\\N", F.replace(F.replace(c, F.lit("\\r"), F.lit("\r")), F.lit("\\b"), F.lit("\\")))
+
+
 def read_jsonl(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """JSON lines (a file, folder or glob) with primitives as strings."""
     return spark.read.option("primitivesAsString", True).json(path)

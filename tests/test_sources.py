@@ -21,6 +21,15 @@ def test_csv_quotes_and_lines(spark, tmp_path):
     assert out._source_file == "a.csv" and out.ingestion_date == "2026-01-01"
 
 
+def test_csv_roundtrip_keeps_every_text(spark, tmp_path, rows):
+    from morbiscope.plans import catalog
+
+    texts = [None, "", " ", "a\r\nb", "\r", "x\ry\n", "\\N", "\\E", "\\r", "\\\\r\\b\r", 'say "hi", \\"', "  outer \t", "null", "#c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(catalog.csv_roundtrip_all(spark, str(tmp_path))) == rows(df)
+
+
 def test_rss(spark, tmp_path):
     p = tmp_path / "f.xml"
     p.write_text('<rss><channel><item><guid>g1</guid><title>T &amp; U</title><source url="https://s">S</source></item><item><title>only</title></item></channel></rss>')
