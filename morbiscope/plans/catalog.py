@@ -470,13 +470,21 @@ def row_accounting(spark, sf):
 # ---- sources and store --------------------------------------------------------------------------------------
 @query("select event_id, user_id, event_type, value, case when event_type = 'click' then 'late' else cast(cast(ts as date) as varchar) end as day from events where event_type in ('click', 'view')")
 def store_roundtrip(spark, sf):
-    e = table(spark, sf, "events").where("event_type in ('click', 'view')").select("event_id", "user_id", "event_type", "value", F.date_format("ts", "yyyy-MM-dd").alias("on_day"))
-    store = TableStore(spark, fresh_dir(spark, "store"), "event_type")
-    for kind in ("view", "click"):
-        store.replace_partition(e.where(c("event_type") == kind).drop("event_type"), kind)
-    changed = e.where("event_type = 'click'").withColumn("on_day", F.lit("late"))
-    store.replace_partition(changed.drop("event_type"), "click")
-    return store.read().select("event_id", "user_id", "event_type", "value", c("on_day").alias("day"))
+    """The rows of ``store_roundtrip_all`` in two of its partitions."""
+    return store_roundtrip_all(spark, sf).where("event_type in ('click', 'view')").select("event_id", "user_id", "event_type", "value", "day")
+
+
+@query("select event_id, ts, user_id, event_type, value, props, case when event_type = 'click' then 'late' else cast(cast(ts as date) as varchar) end as day from events")
+def store_roundtrip_all(spark, sf):
+    """Every partition of ``events`` written, one of them replaced, all read again."""
+    # The partition value is text, so rows without a type share the empty one; the type itself stays a column.
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    kind = F.coalesce("event_type", F.lit(""))
+    store = TableStore(spark, fresh_dir(spark, "store"), "kind")
+    for (k,) in e.select(kind).distinct().collect():  # bounded by the event types
+        store.replace_partition(e.where(kind == k), k)
+    store.replace_partition(e.where(kind == "click").withColumn("day", F.lit("late")), "click")
+    return store.read().drop("kind")
 
 
 @query("select doc_id, text from documents where text is not null and not contains(text, chr(13))")

@@ -104,6 +104,17 @@ def test_store_contract(spark, tmp_path):
     assert u.read().dtypes == [("k", "int")]
 
 
+def test_store_roundtrip_keeps_every_event(spark, tmp_path, rows):
+    from morbiscope.plans import catalog
+
+    kinds = ["click", "view", "signup", "purchase", "error", "", None]
+    events = spark.createDataFrame([(i, k, i / 2) for i, k in enumerate(kinds)], "event_id bigint, event_type string, value double")
+    events = events.selectExpr("event_id", "timestamp_ntz'2024-01-02 03:04:05.678' as ts", "event_id as user_id", "event_type", "value", "'{}' as props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    want = events.withColumn("day", F.when(F.col("event_type") == "click", "late").otherwise("2024-01-02"))
+    assert rows(catalog.store_roundtrip_all(spark, str(tmp_path))) == rows(want)
+
+
 def test_fetch(tmp_path):
     calls, waits = [], []
 
