@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from morbiscope.llm import layout_copies as L
 from morbiscope.llm import canon_names, packing, surrogates, tree_tokenizer
-from morbiscope.runtime import table
+from morbiscope.runtime import table, written
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,15 @@ def p9_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.protect_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts")).drop("entities")
 
 
+def p9_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By kind, how many surrogates stand for several entities, and how many entities have several surrogates."""
+    found = surrogates.protect_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"), texts=False, originals=True)
+    entities = found.select(F.explode("entities").alias("e")).select("e.kind", "e.original", "e.surrogate")
+    return surrogates.surrogate_accounting(written(entities, "surrogates"))  # two reductions read it
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_packing": p8_packing, "p9_found": p9_found, "p9_protected": p9_protected}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_packing": p8_packing, "p9_found": p9_found, "p9_protected": p9_protected, "p9_collisions": p9_collisions}
 
 
 def _bare(x: str) -> str:

@@ -3,7 +3,8 @@
 A surrogate depends on the key and the entity only, so one person keeps one surrogate through the corpus
 (coreference), and it is made by permutations, so two different entities never get the same one
 (distinctness): digits, consonants and vowels are each encrypted within their own alphabet by a Feistel
-cipher, the parts of names are moved along keyed cycles of the lexicon's beginnings and endings.
+cipher; initials move along one keyed cycle of letters, and every part of a name gets a part of its own that
+begins with its letter's successor, made from keyed cycles of the lexicon's beginnings and endings.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import random
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +54,36 @@ class Surrogates:
                 random.Random(self._digest(f"{position}{side}".encode())).shuffle(order)
                 fixed = position == "given" and side == 1
                 self.cycles[position, side] = {m: m if fixed else order[(i + 1) % len(order)] for i, m in enumerate(order)}
+        self.letters: dict[str, str] = {}
+        for alphabet in _ALPHABETS[1:]:
+            order = list(alphabet)
+            random.Random(self._digest(f"initial/{alphabet}".encode())).shuffle(order)
+            self.letters |= {m: order[(i + 1) % len(order)] for i, m in enumerate(order)}
+        self.parts = self._parts()
+
+    def _parts(self) -> dict[str, str]:
+        """A surrogate of its own for every part of the lexicon, its first letter that of the part's initial."""
+        made: dict[str, str] = {}
+        taken = set(CONNECTORS)
+        for word, (position, beginning, ending) in sorted(self.lexicon.split.items()):
+            made[word] = next(x for x in self._candidates(word, position, beginning, ending) if x not in taken and x != word)
+            taken.add(made[word])
+        return made
+
+    def _candidates(self, word: str, position: str, beginning: str, ending: str) -> Iterator[str]:
+        """Surrogates of one part, the likeliest first: tails of other beginnings, then scrambled ones that get longer."""
+        first = self.letters.get(word[:1], word[:1])
+        if ending:
+            cycle, last = self.cycles[position, 0], self.cycles[position, 1].get(ending, ending)
+            at = beginning
+            for _ in range(len(cycle)):
+                at = cycle.get(at, at)
+                if at[1:] != beginning[1:]:
+                    yield first + at[1:] + last
+        else:
+            beginning, last = word, ""
+        for n in count():
+            yield first + self.scramble(beginning[1:] + "an" * (n // 20), f"part/{n}") + last
 
     def _digest(self, data: bytes) -> bytes:
         return hashlib.blake2b(data, key=self.key[:64], digest_size=16).digest()
@@ -93,32 +125,26 @@ class Surrogates:
         return "".join(out)
 
     def name_part(self, word: str) -> str:
-        hit = self.lexicon.split.get(word.lower())
-        if not hit or not hit[2]:
-            new = self.scramble(word.lower(), "part")
-        else:
-            position, beginning, ending = hit
-            new = self.cycles[position, 0].get(beginning, beginning) + self.cycles[position, 1].get(ending, ending)
+        new = self.parts.get(word.lower()) or self.scramble(word.lower(), "part")
         return new.upper() if word.isupper() and len(word) > 1 else new.capitalize() if word[:1].isupper() else new
 
-    def name(self, text: str, known: dict[str, str]) -> str:
-        """Parts in their own order and case; an initial becomes that of the part it stood for, where known."""
+    def name(self, text: str) -> str:
+        """Parts in their own order and case; an initial becomes that of the parts it may stand for."""
 
         def one(m: re.Match) -> str:
             word = m.group()
             if word.lower() in CONNECTORS:
                 return word
             if len(word) == 1:
-                return known.get(word.upper()) or "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[self.permute([ord(word.upper()) - 65], 26, "initial")[0]] if word.isascii() else word
-            new = self.name_part(word)
-            known.setdefault(word[0].upper(), new[0].upper())
-            return new
+                new = self.letters.get(word.lower(), word)
+                return new.upper() if word.isupper() else new
+            return self.name_part(word)
 
         return re.sub(r"[^\W\d_]+", one, text)
 
-    def replace(self, kind: str, text: str, known: dict[str, str]) -> str:
-        """The surrogate of one entity; ``known`` carries the initials met in its document."""
-        return self.name(text, known) if kind == "name" else self._other(kind, text)
+    def replace(self, kind: str, text: str, known: dict[str, str] | None = None) -> str:
+        """The surrogate of one entity; it is the same in every document, ``known`` is not read."""
+        return self.name(text) if kind == "name" else self._other(kind, text)
 
     @lru_cache(maxsize=50_000)  # noqa: B019
     def _other(self, kind: str, text: str) -> str:
@@ -145,9 +171,9 @@ def apply_spans(text: str, spans: list[Span], replacements: list[str]) -> str:
     return "".join([*out, text[at:]])
 
 
-def protect_documents(docs: DataFrame, name_parts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = DEFAULT_KEY, texts: bool = True) -> DataFrame:
-    """``id_col``, ``entities`` (array of kind, start_pos, end_pos, surrogate) and, with ``texts``, the text
-    twice: ``redacted`` with typed placeholders and ``text_surrogate`` with surrogates.
+def protect_documents(docs: DataFrame, name_parts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = DEFAULT_KEY, texts: bool = True, originals: bool = False) -> DataFrame:
+    """``id_col``, ``entities`` (array of kind, start_pos, end_pos, surrogate and, with ``originals``, original) and,
+    with ``texts``, the text twice: ``redacted`` with typed placeholders and ``text_surrogate`` with surrogates.
 
     Positions count code points from 0, the end exclusive; spans are ordered and do not overlap.
 
@@ -164,7 +190,7 @@ def protect_documents(docs: DataFrame, name_parts: DataFrame, *, id_col: str = "
         raise ValueError(f"the list of name parts has more than {MAX_PARTS} rows")
     parts = sorted((r[0], r[1]) for r in listed)
     kind = docs.schema[id_col].dataType.simpleString()
-    entity = pa.struct([("kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("surrogate", pa.string())])
+    entity = pa.struct([("kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("surrogate", pa.string()), *[("original", pa.string())] * originals])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = NameLexicon(parts)
@@ -174,31 +200,36 @@ def protect_documents(docs: DataFrame, name_parts: DataFrame, *, id_col: str = "
                 rows, redacted, replaced = [], [], []
                 for text in piece.column(1).to_pylist():
                     spans = find_entities(text, lexicon)
-                    known: dict[str, str] = {}
-                    new = [made.replace(s.kind, text[s.start : s.end], known) for s in spans]
-                    rows.append([{"kind": s.kind, "start_pos": s.start, "end_pos": s.end, "surrogate": r} for s, r in zip(spans, new)])
+                    new = [made.replace(s.kind, text[s.start : s.end]) for s in spans]
+                    rows.append([{"kind": s.kind, "start_pos": s.start, "end_pos": s.end, "surrogate": r} | ({"original": text[s.start : s.end]} if originals else {}) for s, r in zip(spans, new)])
                     if texts:
                         redacted.append(None if text is None else apply_spans(text, spans, [PLACEHOLDERS[s.kind] for s in spans]))
                         replaced.append(None if text is None else apply_spans(text, spans, new))
                 columns = [piece.column(0), pa.array(rows, pa.list_(entity))] + ([pa.array(redacted, pa.string()), pa.array(replaced, pa.string())] if texts else [])
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "entities", "redacted", "text_surrogate"][: len(columns)])
 
-    schema = f"id {kind}, entities array<struct<kind:string,start_pos:int,end_pos:int,surrogate:string>>" + (", redacted string, text_surrogate string" if texts else "")
+    schema = f"id {kind}, entities array<struct<kind:string,start_pos:int,end_pos:int,surrogate:string{',original:string' * originals}>>" + (", redacted string, text_surrogate string" if texts else "")
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     return out.select(F.col("id").alias(id_col), *out.columns[1:])
 
 
+def _plain_pairs(entities: DataFrame) -> DataFrame:
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    return entities.select("kind", plain(F.col("original")).alias("original"), plain(F.col("surrogate")).alias("surrogate")).distinct()
+
+
 def surrogate_collisions(entities: DataFrame) -> DataFrame:
     """``kind``, ``surrogate`` and the number of different originals behind it, where more than one.
 
     ``entities``: ``kind``, ``original``, ``surrogate``. Originals that differ in layout or letter case only
     count as one. An empty result is the proof of distinctness for a corpus.
     """
-    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
-    return (
-        entities.select("kind", plain(F.col("original")).alias("original"), plain(F.col("surrogate")).alias("surrogate"))
-        .distinct()
-        .groupBy("kind", "surrogate")
-        .agg(F.count("*").alias("originals"))
-        .where("originals > 1")
-    )
+    return _plain_pairs(entities).groupBy("kind", "surrogate").agg(F.count("*").alias("originals")).where("originals > 1")
+
+
+def surrogate_accounting(entities: DataFrame) -> DataFrame:
+    """By ``kind``: different originals, ``collisions`` (surrogates of several originals) and ``splits`` (originals with several surrogates)."""
+    pairs = _plain_pairs(entities)
+    collisions = surrogate_collisions(entities).groupBy("kind").agg(F.count("*").alias("collisions"))
+    splits = pairs.groupBy("kind", "original").agg(F.count("*").alias("n")).groupBy("kind").agg(F.count("*").alias("originals"), F.count_if(F.col("n") > 1).alias("splits"))
+    return splits.join(collisions, "kind", "left").select("kind", "originals", F.coalesce("collisions", F.lit(0)).alias("collisions"), "splits")

@@ -70,6 +70,25 @@ def test_surrogates_keep_type_and_stay_distinct(lexicon):
     assert e.endswith(".example") and e[2] == "." and e[7 - 1] == "@" and e.split("@")[1][0].isupper()
 
 
+def test_initials_are_one_bijection_with_the_parts(lexicon):
+    made = S.Surrogates("key", lexicon)
+    letters = {made.replace("name", f"{x}. Eskano") for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    assert len(letters) == 26
+    for given in GIVEN:  # with the full name in the document or without it
+        full, short = made.replace("name", f"{given.capitalize()} Eskano"), made.replace("name", f"{given[0].upper()}. Eskano")
+        assert short == f"{full[0]}. {full.split()[1]}"
+    assert len(set(made.parts.values())) == len(made.parts) and all(w != x for w, x in made.parts.items())
+
+
+def test_no_surrogate_of_two_people_in_a_corpus(spark):
+    texts = ["Armel Eskano and A. Eskano", "A. Eskano", *[f"{x}. Eskano" for x in "BCDEFGHIJKLMNOPQRSTUVWXYZ"], "Eskberg, Q. and Quilon Eskberg, Tasira Eskano"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    parts = spark.createDataFrame(PARTS, "name_part string, position string")
+    found = S.protect_documents(df, parts, texts=False, originals=True)
+    entities = found.select(F.explode("entities").alias("e")).select("e.kind", "e.original", "e.surrogate")
+    assert [tuple(r) for r in S.surrogate_accounting(entities).collect()] == [("name", entities.select("original").distinct().count(), 0, 0)]
+
+
 def test_frame(spark, lexicon):
     text = "Dear Armel Eskano, call 0539561005 or a@b.example​ \U0001f600 A. Eskano"
     df = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x"), (4, " ", "x"), (1, text, "y"), (5, "plain " * 50000 + "Armel Eskano", "x")], "doc_id bigint, text string, entities string")
