@@ -432,14 +432,31 @@ def seasonality_index(spark, sf):
     )
 )
 def profile_table(spark, sf):
-    return Q.profile(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "doc_type", "iso3"))
+    """Six rows of ``profile_table_all``."""
+    return profile_table_all(spark, sf).where(c("column_name").isin("doc_id", "lang", "source", "n_chars", "doc_type", "iso3"))
+
+
+@query(
+    " union all ".join(
+        f"select '{n}' as column_name, '{t}' as column_type, count(*) as n_rows, count(*) - count({n}) as null_count, count(distinct {n}) as distinct_count, round(100.0 * (count(*) - count({n})) / count(*), 4) as null_percent from documents"
+        for n, t in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"), ("doc_type", "string"), ("iso3", "string"), ("published_at", "timestamp_ntz"), ("received_at", "timestamp_ntz"))
+    )
+)
+def profile_table_all(spark, sf):
+    return Q.profile(table(spark, sf, "documents"))
 
 
 @query("select count(*) as n_rows, count(*) - (select count(*) from (select distinct guid, title, link from news_rss)) as duplicate_rows, (select count(*) from (select distinct guid from news_rss)) as distinct_keys, count(*) - (select count(*) from (select distinct guid from news_rss)) as duplicate_keys from news_rss")
 def duplicate_report(spark, sf):
+    """Of three columns; ``duplicate_report_all`` has whole rows."""
     return Q.duplicate_report(table(spark, sf, "news_rss").select("guid", "title", "link"), ["guid"])
 
 
+@query("select count(*) as n_rows, count(*) - (select count(*) from (select distinct * from news_rss)) as duplicate_rows, (select count(*) from (select distinct guid from news_rss)) as distinct_keys, count(*) - (select count(*) from (select distinct guid from news_rss)) as duplicate_keys from news_rss")
+def duplicate_report_all(spark, sf):
+    return Q.duplicate_report(table(spark, sf, "news_rss"), ["guid"])
+
+
 @query(
     """select case when d < 8 then 'week' when d < 32 then 'month' else 'longer' end as span, count(*) as n, min(d) as least, max(d) as most
 from (select date_diff('day', cast(o_orderdate as date), cast(l_shipdate as date)) + 1 as d from lineitem join orders on l_orderkey = o_orderkey) group by 1"""

@@ -34,3 +34,10 @@ def test_query(spark, con, name):
         assert sorted(got.columns) == sorted(want.columns) and canon(got) == canon(want)
     else:
         assert len(got)
+
+
+def test_whole_tables_are_profiled(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [r.column_name for r in catalog.profile_table_all(spark, SF).collect()] == documents.columns
+    news = spark.read.parquet(f"{SF}/news_rss.parquet")
+    assert catalog.duplicate_report_all(spark, SF).first().duplicate_rows == news.count() - news.distinct().count()
