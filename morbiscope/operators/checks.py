@@ -32,6 +32,11 @@ def enforce(*checks: Check) -> None:
         raise ContractError("; ".join(failed))
 
 
+def violation_rows(*checks: Check) -> DataFrame:
+    """``check`` (its name) and ``key`` (the violation as JSON) of every violation of every check."""
+    return reduce(DataFrame.unionAll, [c.violations.select(F.lit(c.name).alias("check"), F.to_json(F.struct("*")).alias("key")) for c in checks])
+
+
 def require_columns(df: DataFrame, needed: Sequence[str], label: str) -> None:
     if missing := sorted(set(needed) - set(df.columns)):
         raise ContractError(f"{label}: missing columns {missing}")

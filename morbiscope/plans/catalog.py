@@ -76,11 +76,15 @@ bm as (select * from r x where feed = 'B' and t_res = 'month' and not exists (se
 select * from a2 union all select * from ay union all select * from bw union all select * from bm"""
 )
 def period_history(spark, sf):
+    return _period_history(spark, sf)[0]
+
+
+def _period_history(spark: SparkSession, sf: str) -> tuple[DataFrame, list[C.Check]]:
     rows = written(_order_periods(spark, sf), "order-periods")  # eight branches read it
     a, b = rows.where("feed = 'A'"), rows.where("feed = 'B'")
-    own, _ = P.finest_first(a, ["cust"], "A")
-    filled, _ = P.fill_from_secondary(a, b, ["cust"], ["week", "month"], "B")
-    return own.unionByName(filled).select("cust", "feed", "t_res", "start_date", "n", "period_end")
+    own, first = P.finest_first(a, ["cust"], "A")
+    filled, second = P.fill_from_secondary(a, b, ["cust"], ["week", "month"], "B")
+    return own.unionByName(filled).select("cust", "feed", "t_res", "start_date", "n", "period_end"), [*first, *second]
 
 
 @query(_PERIODS + f" select x.cust, x.start_date, x.n from r x where feed = 'A' and t_res = 'month' and not exists (select 1 from r b where b.feed = 'A' and b.t_res = 'week' and {_MEETS})")
@@ -112,11 +116,24 @@ def finest_resolution(spark, sf):
   order by case l_returnflag when 'R' then 0 when 'A' then 1 else 2 end, l_shipdate desc, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as k from lineitem) where k = 1"""
 )
 def keep_best_conflict_checked(spark, sf):
-    li = table(spark, sf, "lineitem")
-    best, _ = L.best_per_key(li, ["l_orderkey"], X.preference(c("l_returnflag"), ["R", "A"]), ["l_linestatus"], [c("l_shipdate").desc(), c("l_linenumber"), c("l_partkey"), c("l_suppkey"), c("l_extendedprice")], "lineitem")
+    """Its conflicts are the rows of ``keep_best_conflicts``."""
+    best, _ = _keep_best(spark, sf)
     return best.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
 
 
+def _keep_best(spark: SparkSession, sf: str) -> tuple[DataFrame, list[C.Check]]:
+    li = table(spark, sf, "lineitem")
+    return L.best_per_key(li, ["l_orderkey"], X.preference(c("l_returnflag"), ["R", "A"]), ["l_linestatus"], [c("l_shipdate").desc(), c("l_linenumber"), c("l_partkey"), c("l_suppkey"), c("l_extendedprice")], "lineitem")
+
+
+@query(
+    """select 'lineitem: conflicting l_linestatus within one key' as "check", '{"l_orderkey":' || l_orderkey || ',"__priority":' || p || ',"n_l_linestatus":' || count(distinct l_linestatus) || '}' as key
+from (select *, case l_returnflag when 'R' then 0 when 'A' then 1 else 2 end as p from lineitem) group by l_orderkey, p having count(distinct l_linestatus) > 1"""
+)
+def keep_best_conflicts(spark, sf):
+    return C.violation_rows(*_keep_best(spark, sf)[1])
+
+
 @query("select user_id, event_type, event_id, ts from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id) as k from events) where k = 1")
 def latest_observation(spark, sf):
     return L.first_per_key(table(spark, sf, "events"), ["user_id", "event_type"], [c("ts").desc(), c("event_id")]).select("user_id", "event_type", "event_id", "ts")
@@ -327,19 +344,25 @@ from s left join l n on n.iso3 = s.iso3 and n.k is not distinct from s.k and (s.
 left join l g on g.iso3 = s.iso3 and g.cod = s.guess and g.k is not null"""
 )
 def code_reformat_map(spark, sf):
+    return _code_reformat_map(spark, sf)[0].select("obs_id", "mapped_code", "map_method")
+
+
+def _code_reformat_map(spark: SparkSession, sf: str) -> tuple[DataFrame, list[C.Check]]:
     lookup = table(spark, sf, "administrative_boundaries").select("iso3", X.compact_key(c("adm_1_name")).alias("k"), c("p_code").alias("cod"))
     rows = table(spark, sf, "dengue_history").select("obs_id", "iso3", "s_res", "adm_1_name", "p_code")
     guess = F.when((c("s_res") == "Admin1") & c("iso3").isin("THA", "KHM"), X.padded_code(c("p_code"), ["TH", "KH"]))
     use = (c("s_res") == "Admin0") | ((c("s_res") == "Admin1") & (c("iso3") != "VNM"))
-    out, _ = M.map_codes(rows, lookup, scope="iso3", name_key=X.compact_key(c("adm_1_name")), lookup_key="k", code="cod", code_guess=guess, name_applies=use, label="codes")
-    return out.select("obs_id", "mapped_code", "map_method")
+    return M.map_codes(rows, lookup, scope="iso3", name_key=X.compact_key(c("adm_1_name")), lookup_key="k", code="cod", code_guess=guess, name_applies=use, label="codes")
 
 
 @query("select count(*) filter (where r_name is not null) as known_rows, count(*) filter (where r_name is null) as unknown_rows from nation left join (select * from region where r_regionkey < 3) on n_regionkey = r_regionkey")
 def name_code_validation(spark, sf):
+    return _name_code_validation(spark, sf)[0]
+
+
+def _name_code_validation(spark: SparkSession, sf: str) -> tuple[DataFrame, list[C.Check]]:
     region = table(spark, sf, "region").where("r_regionkey < 3").select(c("r_regionkey").alias("n_regionkey"), "r_name")
-    counts, _ = M.name_check(table(spark, sf, "nation"), region, "n_regionkey", c("n_name"), "r_name", "nation")
-    return counts
+    return M.name_check(table(spark, sf, "nation"), region, "n_regionkey", c("n_name"), "r_name", "nation")
 
 
 @query("select d.doc_id, coalesce(d.iso3, b.iso3) as iso, coalesce(b.valid_on, date '1970-01-01') as valid_on from documents d left join (select iso3, valid_on from administrative_boundaries where adm_1_name is null) b on d.iso3 = b.iso3")
@@ -564,14 +587,29 @@ def snapshot_grain(spark, sf):
 
 @query()
 def counts_clean(spark, sf):
+    return _counts_clean(spark, sf)[0]
+
+
+def _counts_clean(spark: SparkSession, sf: str) -> pipelines.Result:
     latest = L.rows_of_latest_version(table(spark, sf, "opendengue"), "release")
-    return pipelines.clean_counts(latest, as_of=AS_OF, processed_at=PROCESSED)[0]
+    return pipelines.clean_counts(latest, as_of=AS_OF, processed_at=PROCESSED)
 
 
 @query()
 def snapshot_clean(spark, sf):
+    return _snapshot_clean(spark, sf)[0]
+
+
+def _snapshot_clean(spark: SparkSession, sf: str) -> pipelines.Result:
     latest = L.rows_of_latest_snapshot(table(spark, sf, "who_gho"), "ingestion_date")
-    return pipelines.clean_snapshot(latest, as_of=AS_OF, processed_at=PROCESSED)[0]
+    return pipelines.clean_snapshot(latest, as_of=AS_OF, processed_at=PROCESSED)
+
+
+@query()
+def clean_conflicts(spark, sf):
+    """Violations of the checks of the five queries that return rows only."""
+    made = [_period_history, _code_reformat_map, _name_code_validation, _counts_clean, _snapshot_clean]
+    return C.violation_rows(*[check for f in made for check in f(spark, sf)[1]])
 
 
 @query()

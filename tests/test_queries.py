@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from morbiscope.plans import catalog, problems  # noqa: E402
@@ -41,3 +42,10 @@ def test_whole_tables_are_profiled(spark):
     assert [r.column_name for r in catalog.profile_table_all(spark, SF).collect()] == documents.columns
     news = spark.read.parquet(f"{SF}/news_rss.parquet")
     assert catalog.duplicate_report_all(spark, SF).first().duplicate_rows == news.count() - news.distinct().count()
+
+
+def test_conflicts_are_returned(spark, tmp_path):
+    lineitem = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_orderkey = 1").limit(1)
+    lineitem.unionAll(lineitem.withColumn("l_linestatus", F.lit("other"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    (got,) = catalog.keep_best_conflicts(spark, str(tmp_path)).collect()
+    assert got.check == "lineitem: conflicting l_linestatus within one key" and '"l_orderkey":1,' in got.key
