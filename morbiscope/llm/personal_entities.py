@@ -37,8 +37,8 @@ INSTITUTION_BEFORE = (
     "Sitio", "Street", "Foundation of", "Institute of", "Mount", "Lake", "Port", "Fort", "Klinika", "Centro de Saúde",
 )
 # Words before a number that is of a sample, lot, file or good, a measure or a date.
-_THING = r"(?:sample|samples|batch|tube|tubes|lot|barcode|kit|reference|ref|grid|coordinates|line|budget|version|file|vial|order|invoice|serial|model|asset|crate|parcel|form|annex|code|sampel|mẫu|lô|amostra|lote|sampol|ตัวอย่าง|\d{2}[A-Z])"
-_OF_THING = re.compile(rf"(?:{_THING})(?:{_S}*(?:no\.?|number|nr\.?|#|:|n\.º|số))?{_S}*$", re.I)
+_THING = r"(?:sample|samples|batch|tube|tubes|lot|barcode|kit|reference|ref|grid|coordinates|line|budget|version|file|vial|order|invoice|serial|model|asset|crate|parcel|form|annex|code|sampel|mẫu|lô|amostra|lote|sampol)"
+_OF_THING = re.compile(rf"(?:(?<!\w){_THING}|ตัวอย่าง|\d{{2}}[A-Z])(?:{_S}*(?:no\.?|number|nr\.?|#|:|n\.º|số))?{_S}*$", re.I)
 
 
 @dataclass(frozen=True)

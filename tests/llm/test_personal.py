@@ -40,6 +40,12 @@ def test_find(text, want, lexicon):
     assert found(text, lexicon) == want
 
 
+@pytest.mark.parametrize("word", ["Dengue hotline: ", "helpline ", "landline no. ", "postcode "])
+def test_words_that_end_like_a_thing(word, lexicon):
+    assert found(f"{word}0800 123 456", lexicon) == [("phone", "0800 123 456")] and found(f"{word}0539561005", lexicon) == [("phone", "0539561005")]
+    assert found("budget line: 0539561005; 47P 0604924818; เก็บตัวอย่าง 0842034767", lexicon) == []
+
+
 def test_same_names_without_the_automaton(lexicon):
     text = "İ Armel Eskano, xArmel Eskanox QUIRUMI Folano " * 3
     plain = E.NameLexicon(PARTS)
