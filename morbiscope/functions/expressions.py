@@ -23,7 +23,8 @@ def clean_text(text: Column) -> Column:
 
 
 def _titled(text: Column) -> Column:
-    return F.array_join(F.transform(F.split(F.lower(text), "-"), F.initcap), "-")  # null stays null
+    """Title case after blanks and hyphens: a blank that is put behind each hyphen, and taken away again, starts a word."""
+    return F.replace(F.initcap(F.replace(F.lower(text), F.lit("-"), F.lit("- "))), F.lit("- "), F.lit("-"))
 
 
 def hyphen_title(text: Column) -> Column:
@@ -33,7 +34,8 @@ def hyphen_title(text: Column) -> Column:
 
 def compact_title(text: Column) -> Column:
     """Title case without white space; words already run together are kept apart first (``HAI phong`` -> ``HaiPhong``)."""
-    return F.regexp_replace(_titled(F.regexp_replace(clean_text(text), r"(?<=[a-z])(?=[A-Z])", " ")), r"\s+", "")
+    parted = F.regexp_replace(clean_text(text), "([a-z])(?=[A-Z])", "$1 ")
+    return F.replace(_titled(parted), F.lit(" "), F.lit(""))
 
 
 def compact_key(text: Column) -> Column:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from morbiscope.operators.grouped import gathered, whole_groups
+
 _OUT = "group_key string, span_kind string, start_day int, end_day int"
 
 
@@ -116,26 +118,7 @@ def _spans_of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _spans_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches come sorted by key; the last key of a batch may go on in the next one."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0)
-        if keys[0] == keys[-1] and (not held or held[-1].column(0)[-1] == keys[0]):
-            held.append(batch)
-            continue
-        cut = batch.num_rows - 1  # first row of the last key
-        last = keys[-1].as_py()
-        lo, hi = 0, cut
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if keys[mid].as_py() == last else (mid + 1, hi)
-        whole = [*held, batch.slice(0, lo)]
-        held = [batch.slice(lo)]
-        yield _spans_of_batch(pa.Table.from_batches(whole).combine_chunks().to_batches()[0])
-    if held:
-        yield _spans_of_batch(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+    yield from map(_spans_of_batch, whole_groups(batches))
 
 
 def periods_and_gaps(intervals: DataFrame, *, key: str, start: str, end: str) -> DataFrame:
@@ -159,7 +142,7 @@ def periods_and_gaps(intervals: DataFrame, *, key: str, start: str, end: str) ->
         .where("group_key is not null and s < e")
         .distinct()
     )
-    out = slim.repartition("group_key").sortWithinPartitions("group_key").mapInArrow(_spans_of_partition, _OUT)
+    out = gathered(slim, "group_key").mapInArrow(_spans_of_partition, _OUT)
     return out.select(
         "group_key",
         "span_kind",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morbiscope.functions import expressions as X
@@ -52,7 +52,8 @@ def _order_periods(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(p.isin("1", "4"), "week").when(p.isin("2", "5"), "month").otherwise("year")
     rows = o.select(c("o_custkey").alias("cust"), F.when(p.isin("4", "5"), "B").otherwise("A").alias("feed"), kind.alias("t_res"), c("o_orderdate").alias("ts"))
     start = F.when(c("t_res") == "week", F.date_trunc("week", "ts")).when(c("t_res") == "month", F.date_trunc("month", "ts")).otherwise(F.date_trunc("year", "ts"))
-    return P.with_period(rows.groupBy("cust", "feed", "t_res", start.cast("date").alias("start_date")).agg(F.count("*").alias("n")))
+    periods = rows.groupBy("cust", "feed", "t_res", start.cast("date").alias("start_date")).agg(F.count("*").alias("n"))
+    return periods.withColumn("period_end", X.period_end(c("start_date"), c("t_res")))
 
 
 _PERIODS = """
@@ -80,24 +81,21 @@ def period_history(spark, sf):
 
 
 def _period_history(spark: SparkSession, sf: str) -> tuple[DataFrame, list[C.Check]]:
-    rows = written(_order_periods(spark, sf), "order-periods")  # eight branches read it
-    a, b = rows.where("feed = 'A'"), rows.where("feed = 'B'")
-    own, first = P.finest_first(a, ["cust"], "A")
-    filled, second = P.fill_from_secondary(a, b, ["cust"], ["week", "month"], "B")
-    return own.unionByName(filled).select("cust", "feed", "t_res", "start_date", "n", "period_end"), [*first, *second]
+    rows = written(_order_periods(spark, sf), "order-periods")  # the sweep and the join with its verdicts read it
+    a, b = c("feed") == "A", c("feed") == "B"
+    ranking = [[a & (c("t_res") == r) for r in ("week", "month", "year")], [b & (c("t_res") == r) for r in ("week", "month")]]
+    return P.select_periods(rows, ["cust"], ranking, "orders")
 
 
 @query(_PERIODS + f" select x.cust, x.start_date, x.n from r x where feed = 'A' and t_res = 'month' and not exists (select 1 from r b where b.feed = 'A' and b.t_res = 'week' and {_MEETS})")
 def interval_anti_join(spark, sf):
-    rows = _order_periods(spark, sf).where("feed = 'A'")
+    rows = written(_order_periods(spark, sf).where("feed = 'A'"), "order-periods")
     return P.disjoint_from(rows.where("t_res = 'month'"), rows.where("t_res = 'week'"), ["cust"]).select("cust", "start_date", "n")
 
 
 @query(_PERIODS + " select cust, feed, t_res, start_date from (select *, max(period_end) over (partition by cust order by start_date, period_end, feed, t_res rows between unbounded preceding and 1 preceding) as reach from r) where start_date < reach")
 def overlap_check(spark, sf):
-    rows = _order_periods(spark, sf)
-    reach = F.max("period_end").over(Window.partitionBy("cust").orderBy("start_date", "period_end", "feed", "t_res").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("reach", reach).where("start_date < reach").select("cust", "feed", "t_res", "start_date")
+    return P.overlapping(written(_order_periods(spark, sf), "order-periods"), ["cust"], ["feed", "t_res"]).select("cust", "feed", "t_res", "start_date")
 
 
 @query(

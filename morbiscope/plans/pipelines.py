@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,6 @@ NEWS = {
 GRAIN = ["adm_0_name", "adm_1_name", "iso3", "p_code", "start_date", "year", "s_res", "t_res"]
 PRESENT = ["adm_0_name", "year", "dengue_total", "_source_file", "_bronze_ingested_at"]
 ISO3 = "[A-Z]{3}"
-NATIONAL, ADMIN1 = ["iso3"], ["iso3", "adm_1_name", "p_code"]
 
 Result = tuple[DataFrame, list[Check]]
 
@@ -44,10 +44,12 @@ def _typed(df: DataFrame, contract: dict[str, str]) -> DataFrame:
 
 
 DEFINITIONS = ["total", "suspected and confirmed", "confirmed"]
+COUNTS = ["adm_0_name", "adm_1_name", "ISO_A0", "RNE_iso_code", "calendar_start_date", "Year", "dengue_total", "S_res", "T_res", "case_definition_standardised", "_source", "_source_file", "_ingested_at"]
 
 
-def _valid_counts(raw: DataFrame, as_of: date, source: str) -> DataFrame:
-    require_columns(raw, ["adm_0_name", "adm_1_name", "ISO_A0", "RNE_iso_code", "calendar_start_date", "Year", "dengue_total", "S_res", "T_res", "case_definition_standardised", "_source", "_source_file", "_ingested_at"], "counts")
+def typed_counts(raw: DataFrame, *, as_of: date, source: str = "opendengue") -> DataFrame:
+    """All-string case counts of the two upper levels as typed columns, with ``valid`` and ``rank`` of the definition."""
+    require_columns(raw, COUNTS, "counts")
     c = F.col
     level = F.upper(X.clean_text(c("S_res")))
     rows = parsed(
@@ -64,42 +66,50 @@ def _valid_counts(raw: DataFrame, as_of: date, source: str) -> DataFrame:
         X.clean_text(c("_source")).alias("_source"),
         X.clean_text(c("_source_file")).alias("_source_file"),
         X.instant(c("_ingested_at")).alias("_bronze_ingested_at"),
-        F.lower(X.clean_text(c("case_definition_standardised"))).alias("definition"),
+        X.preference(F.lower(X.clean_text(c("case_definition_standardised"))), DEFINITIONS).alias("rank"),
     )
     named = (c("s_res") == "Admin0") | c("adm_1_name").isNotNull()
-    return rows.where(rules(c("start_date") <= F.lit(as_of), named, required=PRESENT, patterns={"iso3": ISO3}, allowed={"t_res": ["epiweek", "month", "year"], "_source": [source]}))
+    valid = rules(c("start_date") <= F.lit(as_of), named, required=PRESENT, patterns={"iso3": ISO3}, allowed={"t_res": ["epiweek", "month", "year"], "_source": [source]})
+    return rows.withColumn("valid", valid)
+
+
+def best_counts(rows: DataFrame, processed_at: datetime) -> Result:
+    """One case series per grain of ``typed_counts``; the order leaves no tie in what comes out."""
+    c = F.col
+    order = [c("_bronze_ingested_at").desc(), c("_source_file").asc(), c("dengue_total").asc()]
+    best, checks = best_per_key(rows.where("valid"), GRAIN, c("rank"), ["dengue_total"], order, "counts")
+    return _typed(best.withColumn("_silver_ingested_at", _stamp(processed_at)), HISTORY), checks
 
 
 def clean_counts(raw: DataFrame, *, as_of: date, processed_at: datetime, source: str = "opendengue") -> Result:
     """All-string case counts as history rows: typed, valid, one case series per grain."""
-    rank = X.preference(F.col("definition"), DEFINITIONS)
-    order = [F.col("_bronze_ingested_at").desc(), F.col("_source_file").asc()]
-    best, checks = best_per_key(_valid_counts(raw, as_of, source), GRAIN, rank, ["dengue_total"], order, "counts")
-    return _typed(best.withColumn("_silver_ingested_at", _stamp(processed_at)), HISTORY), checks
+    return best_counts(typed_counts(raw, as_of=as_of, source=source), processed_at)
 
 
 def count_candidates(raw: DataFrame, *, as_of: date, source: str = "opendengue") -> DataFrame:
     """Per grain the best rank of its case definitions, and how many valid rows competed for it."""
-    ranked = _valid_counts(raw, as_of, source).withColumn("best_rank", X.preference(F.col("definition"), DEFINITIONS))
-    return ranked.groupBy(*GRAIN).agg(F.min("best_rank").alias("best_rank"), F.count("*").alias("candidates"))
+    valid = typed_counts(raw, as_of=as_of, source=source).where("valid")
+    return valid.groupBy(*GRAIN).agg(F.min("rank").alias("best_rank"), F.count("*").alias("candidates"))
 
 
 SNAPSHOT_KEY = ["iso3", "year", "t_res", "number"]
+SNAPSHOT = ["COUNTRY", "ISO3", "YEAR", "DATE_TYPE", "DATE_NUM", "START_DATE", "CASES", "_source", "_source_file", "_ingested_at"]
 
 
-def _valid_snapshot(raw: DataFrame, as_of: date, source: str) -> DataFrame:
-    require_columns(raw, ["COUNTRY", "ISO3", "YEAR", "DATE_TYPE", "DATE_NUM", "START_DATE", "CASES", "_source", "_source_file", "_ingested_at"], "snapshot")
+def typed_snapshot(raw: DataFrame, *, as_of: date, source: str = "who_gho") -> DataFrame:
+    """All-string national counts as typed columns, with ``valid``, ``derived`` (a month without a date got one) and ``future``."""
+    require_columns(raw, SNAPSHOT, "snapshot")
     c = F.col
     kind, number, year = F.lower(X.clean_text(c("DATE_TYPE"))), X.digits_as(c("DATE_NUM"), "int", r"\d{1,2}"), X.digits_as(c("YEAR"), "int", r"\d{4}")
     given = X.clean_text(c("START_DATE"))
-    start = F.when(given.isNotNull(), X.day(given)).when(kind == "month", X.month_start(year, number))
     rows = parsed(
         raw,
         X.hyphen_title(c("COUNTRY")).alias("adm_0_name"),
         F.lit(None).cast("string").alias("adm_1_name"),
         F.upper(X.clean_text(c("ISO3"))).alias("iso3"),
         F.lit(None).cast("string").alias("p_code"),
-        start.alias("start_date"),
+        X.day(given).alias("given_date"),
+        given.isNull().alias("undated"),
         year.alias("year"),
         X.digits_as(c("CASES")).alias("dengue_total"),
         F.lit("Admin0").alias("s_res"),
@@ -109,50 +119,85 @@ def _valid_snapshot(raw: DataFrame, as_of: date, source: str) -> DataFrame:
         X.instant(c("_ingested_at")).alias("_bronze_ingested_at"),
         number.alias("number"),
     )
+    derived = c("undated") & (c("t_res") == "month")
+    rows = rows.withColumn("start_date", F.when(derived, X.month_start(c("year"), c("number"))).otherwise(c("given_date")))
+    rows = rows.withColumn("derived", F.coalesce(derived & c("start_date").isNotNull(), F.lit(False)))
+    rows = rows.withColumn("future", F.coalesce(c("start_date") > F.lit(as_of), F.lit(False)))
     in_year = F.when(c("t_res") == "month", c("number") <= 12).when(c("t_res").isin("isoweek", "epiweek"), c("number") <= 53)
-    return rows.where(rules(c("start_date") <= F.lit(as_of), in_year, c("number") >= 1, required=PRESENT, patterns={"iso3": ISO3}, allowed={"_source": [source]}))
+    valid = rules(~c("future"), in_year, c("number") >= 1, required=[*PRESENT, "start_date"], patterns={"iso3": ISO3}, allowed={"_source": [source]})
+    return rows.withColumn("valid", valid)
 
 
-def clean_snapshot(raw: DataFrame, *, as_of: date, processed_at: datetime, source: str = "who_gho") -> Result:
-    """All-string national counts of one snapshot as history rows; missing month dates are derived."""
-    valid = _valid_snapshot(raw, as_of, source)
+def best_snapshot(rows: DataFrame, processed_at: datetime) -> Result:
+    """One row per key of ``typed_snapshot``; the order leaves no tie in what comes out."""
+    c, valid = F.col, rows.where("valid")
     checks = [Check("snapshot: conflicting counts or dates within one key", conflicting_keys(valid, SNAPSHOT_KEY, ["dengue_total", "start_date"]))]
-    best = first_per_key(valid, SNAPSHOT_KEY, [F.col("_bronze_ingested_at").desc(), F.col("_source_file").asc()])
+    order = [c("_bronze_ingested_at").desc(), c("_source_file").asc(), c("dengue_total").asc(), c("start_date").asc(), c("adm_0_name").asc()]
+    best = first_per_key(valid, SNAPSHOT_KEY, order)
     return _typed(best.withColumn("_silver_ingested_at", _stamp(processed_at)), HISTORY), checks
 
 
+def clean_snapshot(raw: DataFrame, *, as_of: date, processed_at: datetime, source: str = "who_gho") -> Result:
+    """All-string national counts of one snapshot as history rows; missing month dates are derived."""
+    return best_snapshot(typed_snapshot(raw, as_of=as_of, source=source), processed_at)
+
+
 def snapshot_candidates(raw: DataFrame, *, as_of: date, source: str = "who_gho") -> DataFrame:
     """Per key the valid rows of a snapshot, their dates and their counts."""
-    return _valid_snapshot(raw, as_of, source).groupBy(*SNAPSHOT_KEY).agg(
+    return typed_snapshot(raw, as_of=as_of, source=source).where("valid").groupBy(*SNAPSHOT_KEY).agg(
         F.count("*").alias("candidates"), F.min("start_date").alias("first_start"), F.max("start_date").alias("last_start"), F.sum("dengue_total").alias("cases")
     )
 
 
+def accounting(rows: DataFrame, grain: Sequence[str], **others: Column) -> DataFrame:
+    """One row: ``typed_rows``, ``valid_rows``, ``invalid_rows``, ``output_rows`` (grains of valid rows), ``deduplicated_rows``.
+
+    ``others`` adds the number of rows for which a condition holds. One pass, combined on the map side.
+    """
+    grains = F.struct(*[F.col(g) for g in grain])
+    counts = rows.agg(
+        F.count("*").alias("typed_rows"),
+        F.count_if("valid").alias("valid_rows"),
+        F.count_distinct(F.when(F.col("valid"), grains)).alias("output_rows"),
+        *[F.count_if(x).alias(name) for name, x in others.items()],
+    )
+    return counts.select(
+        "typed_rows", "valid_rows", (F.col("typed_rows") - F.col("valid_rows")).alias("invalid_rows"), "output_rows", (F.col("valid_rows") - F.col("output_rows")).alias("deduplicated_rows"), *others
+    )
+
+
+RESOLUTIONS = ["isoweek", "epiweek", "month", "year"]
+
+
+def history_places(rows: DataFrame) -> DataFrame:
+    """Eligible rows with their period, and the location that their periods must not overlap in.
+
+    Countries and units are different locations, so a unit's periods never block its country's.
+    """
+    c = F.col
+    local = c("s_res") == "Admin1"
+    return (
+        rows.withColumn("adm_1_name", X.compact_title(c("adm_1_name")))
+        .withColumn("period_end", X.period_end(c("start_date"), c("t_res")))
+        .withColumns({"place_name": F.when(local, c("adm_1_name")), "place_code": F.when(local, c("p_code"))})
+    )
+
+
 def build_history(rows: DataFrame, primary: str = "opendengue", secondary: str = "who_gho") -> Result:
     """Non-overlapping periods per location: the primary source's finest, filled from the secondary where it has none."""
     require_schema(rows, HISTORY, "history")
     c = F.col
-    kept = rows.where((c("s_res") == "Admin0") | ((c("s_res") == "Admin1") & (c("_source") == primary)))
-    # Every selection step reads these rows again, so they are cleaned and written once.
-    timed = written(P.with_period(kept.withColumn("adm_1_name", X.compact_title(c("adm_1_name")))), "history-periods")
-    bad = timed.where(
-        ~all_of(
-            c("iso3").isNotNull(),
-            c("period_end").isNotNull(),
-            c("t_res").isin("epiweek", "isoweek", "month", "year"),
-            (c("s_res") != "Admin1") | c("adm_1_name").isNotNull(),
-            (c("t_res") != "month") | (F.dayofmonth("start_date") == 1),
-            (c("t_res") != "year") | ((F.dayofmonth("start_date") == 1) & (F.month("start_date") == 1)),
-        )
-    )
-    national = timed.where(c("s_res") == "Admin0")
-    own, other = national.where(c("_source") == primary), national.where(c("_source") == secondary)
-    chosen, a = P.finest_first(own, NATIONAL, f"{primary} national")
-    local, b = P.finest_first(timed.where(c("s_res") == "Admin1"), ADMIN1, f"{primary} Admin1")
-    filled, d = P.fill_from_secondary(own, other, NATIONAL, ["isoweek", "epiweek", "month", "year"], secondary)
-    country = chosen.unionByName(filled)
-    checks = [Check("history: invalid period", bad), *a, *b, *d, Check("history: overlapping national periods", P.overlapping(country, NATIONAL))]
-    return country.unionByName(local).select(*HISTORY), checks
+    timed = written(history_places(rows.where(all_of((c("s_res") == "Admin0") | ((c("s_res") == "Admin1") & (c("_source") == primary))))), "history-periods")
+    aligned = F.when(c("t_res") == "month", F.trunc("start_date", "month")).when(c("t_res") == "year", F.trunc("start_date", "year")).otherwise(c("start_date"))
+    usable = rules((c("s_res") == "Admin0") | c("adm_1_name").isNotNull(), aligned == c("start_date"), required=["iso3", "period_end"], allowed={"t_res": RESOLUTIONS})
+    own, other = c("_source") == primary, c("_source") == secondary
+    weekly = c("t_res").isin("isoweek", "epiweek")
+    ranking = [
+        [own & weekly, own & (c("t_res") == "month"), own & (c("t_res") == "year")],
+        [other & (c("t_res") == r) for r in RESOLUTIONS],
+    ]
+    taken, checks = P.select_periods(timed, ["s_res", "iso3", "place_name", "place_code"], ranking, "history")
+    return taken.select(*HISTORY), [Check("history: invalid period", timed.where(~usable)), *checks]
 
 
 def map_history(history: DataFrame, boundaries: DataFrame) -> Result:
@@ -214,8 +259,13 @@ def clean_boundaries(raw: DataFrame, *, processed_at: datetime, source: str = "h
     return _typed(with_parents(placed, "iso3", [c("p_code").asc()], parents).withColumn("_silver_ingested_at", _stamp(processed_at)), BOUNDARIES), checks
 
 
-def clean_news(raw: DataFrame, *, processed_at: datetime, source: str = "news_rss") -> Result:
-    """Articles with plain text and instants, the newest fetch per article and feed."""
+NEWS_KEY = ["guid", "iso3", "feed_gl", "feed_query"]
+FEEDS = ["guid", "title", "description", "feed_country", "feed_gl", "feed_query", "link", "pubDate", "source_url", "_source_file", "_source", "_ingested_at", "_fetched_at"]
+
+
+def typed_news(raw: DataFrame, *, source: str = "news_rss") -> DataFrame:
+    """Articles with plain text and instants, and ``valid``."""
+    require_columns(raw, FEEDS, "news")
     c = F.col
     rows = parsed(
         raw,
@@ -234,7 +284,17 @@ def clean_news(raw: DataFrame, *, processed_at: datetime, source: str = "news_rs
         X.instant(c("_fetched_at")).alias("fetched"),
     )
     present = ["guid", "title", "feed_query", "pubDate", "_source_file", "_bronze_ingested_at", "fetched"]
-    valid = rows.where(rules(required=present, patterns={"iso3": ISO3, "feed_gl": "[A-Z]{2}", "link": r"https?://\S+"}, allowed={"_source": [source]}))
-    order = [c("fetched").desc(), c("_bronze_ingested_at").desc(), c("_source_file").asc(), c("link").asc(), c("title").asc()]
-    kept = first_per_key(valid, ["guid", "iso3", "feed_gl", "feed_query"], order)
+    return rows.withColumn("valid", rules(required=present, patterns={"iso3": ISO3, "feed_gl": "[A-Z]{2}", "link": r"https?://\S+"}, allowed={"_source": [source]}))
+
+
+def newest_news(rows: DataFrame, processed_at: datetime) -> Result:
+    """The newest fetch per article and feed of ``typed_news``; the order leaves no tie in what comes out."""
+    c = F.col
+    order = [c("fetched").desc(), c("_bronze_ingested_at").desc(), *[c(n).asc() for n in ("_source_file", "link", "title", "pubDate", "description", "source_url")]]
+    kept = first_per_key(rows.where("valid"), NEWS_KEY, order)
     return _typed(kept.withColumn("_silver_ingested_at", _stamp(processed_at)), NEWS), []
+
+
+def clean_news(raw: DataFrame, *, processed_at: datetime, source: str = "news_rss") -> Result:
+    """Articles with plain text and instants, the newest fetch per article and feed."""
+    return newest_news(typed_news(raw, source=source), processed_at)
