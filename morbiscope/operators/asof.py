@@ -32,66 +32,53 @@ def as_known_join(
     A change applies to an event if its ``key`` is the same and every date in ``visible`` is present and
     not after ``event_day``; of those that apply, the highest ``rank`` (compared left to right) holds, ties
     by the larger attributes. So a change becomes visible on the latest of its ``visible`` dates, and the
-    state as known on a day is a running maximum over the changes that became visible until then.
+    state as known on a day is the maximum of the changes that became visible until then.
 
-    Method: at the start of every ``snapshot_days`` period the as-known state of each key is materialised
-    (``snapshots``); within a period the change log holds the state after each change with the days it was
-    current. An event takes its period's log entry if one was current, else the preceding snapshot, so no
-    event replays more than the changes of its own period.
+    Method: time is cut into periods of ``snapshot_days``. The snapshot of a key at a period's start is the
+    maximum of all changes that became visible before; the log of a period holds its changes, in the order in
+    which they became visible. An event is joined to the snapshot that precedes it, and the changes of the
+    log up to its day are replayed on it (a fold); changes of other periods are not touched.
 
     Result columns: those of ``events``, then ``known`` (boolean: some change applied) and the attributes
     prefixed ``known_``. Defined cases: events with a null key or day, or without an applying change, keep
     their row with ``known`` false; changes with a null key or date never apply; repeated changes count
     once; either side may be empty; other columns of ``changes`` are ignored, so names cannot clash.
 
-    Scale: both joins are equi-joins on (key, period); the log entry adds a range that at most one row
-    meets, so no join multiplies rows and AQE may split a hot key. Snapshots and logs are written first:
-    Spark broadcasts them only if their measured size is below its threshold.
+    Scale: changes are combined on the map side to one per key and day, so a log has at most
+    ``snapshot_days`` entries and a key at most one snapshot a period, however many changes it has; no task
+    gets the history of a key. Snapshot and log of a period are one row, which an event meets in one
+    equi-join: no event is multiplied and AQE may split a hot key. Both are written first, so Spark
+    broadcasts them only if their measured size is below its threshold.
     """
     seen = F.greatest(*[F.col(v) for v in visible])  # skips nulls, hence the filter before
-    log = changes
+    usable = changes
     for c in (key, *visible):
-        log = log.where(F.col(c).isNotNull())
+        usable = usable.where(F.col(c).isNotNull())
     state = F.struct(*[F.col(c).alias(f"r{i}") for i, c in enumerate(rank)], *[F.col(a).alias(a) for a in attributes])
-    # One state per key and day of becoming visible.
-    log = log.select(F.col(key).alias("ck"), seen.alias("vis"), state.alias("state")).groupBy("ck", "vis").agg(F.max("state").alias("state"))
-    log = log.withColumn("period", _period(F.col("vis"), snapshot_days))
-    by_key = Window.partitionBy("ck").orderBy("vis")
-    log = log.select(
-        "ck",
-        "period",
-        "vis",
-        F.lead("vis").over(by_key).alias("until"),
-        F.max("state").over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("state"),
+    daily = usable.select(F.col(key).alias("ck"), seen.alias("vis"), state.alias("state")).groupBy("ck", "vis").agg(F.max("state").alias("state"))
+    daily = daily.withColumn("period", _period(F.col("vis"), snapshot_days))
+    logs = written(
+        daily.groupBy("ck", "period").agg(F.array_sort(F.collect_list(F.struct("vis", "state"))).alias("log"), F.max("state").alias("top")),  # at most snapshot_days entries
+        "asof-logs",
     )
-    log = written(log, "asof-log")
     last = events.agg(F.max(_period(F.col(event_day), snapshot_days))).first()[0]  # one number
-    ends = log.groupBy("ck", "period").agg(F.max(F.struct("vis", "state")).alias("e"))
-    ends = ends.select("ck", "period", F.col("e.state").alias("state"), F.lead("period").over(Window.partitionBy("ck").orderBy("period")).alias("next_period"))
+    by_period = Window.partitionBy("ck").orderBy("period")  # one row per period with changes
+    so_far = logs.select("ck", "period", F.max("top").over(by_period.rowsBetween(Window.unboundedPreceding, 0)).alias("state"), F.lead("period").over(by_period).alias("next_period"))
     # A snapshot for every later period up to and including that of the next change (or of the last event).
     snapshots = written(
-        ends.select("ck", "state", (F.col("period") + 1).alias("lo"), F.coalesce(F.col("next_period"), F.lit(last).cast("int")).alias("hi"))
+        so_far.select("ck", "state", (F.col("period") + 1).alias("lo"), F.coalesce(F.col("next_period"), F.lit(last).cast("int")).alias("hi"))
         .where("lo <= hi")
         .select("ck", "state", F.explode(F.sequence("lo", "hi")).alias("period")),
         "asof-snapshots",
     )
-    cols = events.columns
+    frames = written(snapshots.withColumnRenamed("state", "snapshot").join(logs.select("ck", "period", "log"), ["ck", "period"], "full_outer"), "asof-frames")
     ev = events.select(
-        F.struct(*[F.col(f"`{c}`") for c in cols]).alias("ev"),
+        F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("ev"),
         F.col(key).alias("ek"),
         F.col(event_day).alias("day"),
         _period(F.col(event_day), snapshot_days).alias("ep"),
     )
-    s = snapshots.select("ck", "period", F.col("state").alias("snap_state"))
-    # Between two changes of one period exactly one entry is current; the last one stays until the period ends.
-    g = log.select("ck", "period", "vis", "until", F.col("state").alias("log_state"))
-    joined = ev.join(s, (F.col("ek") == F.col("ck")) & (F.col("ep") == F.col("period")), "left").select("ev", "ek", "day", "ep", "snap_state")
-    joined = joined.join(
-        g,
-        (F.col("ek") == F.col("ck")) & (F.col("ep") == F.col("period")) & (F.col("vis") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))),
-        "left",
-    )
-    state_at = F.coalesce("log_state", "snap_state")
-    return joined.select(
-        "ev.*", state_at.isNotNull().alias("known"), *[state_at[a].alias(f"known_{a}") for a in attributes]
-    )
+    joined = ev.join(frames, (F.col("ek") == F.col("ck")) & (F.col("ep") == F.col("period")), "left")
+    intervening = F.filter(F.coalesce("log", F.array().cast(frames.schema["log"].dataType)), lambda change: change["vis"] <= F.col("day"))
+    known = joined.select("ev", F.aggregate(intervening, F.col("snapshot"), lambda held, change: F.greatest(held, change["state"])).alias("known"))
+    return known.select("ev.*", F.col("known").isNotNull().alias("known"), *[F.col("known")[a].alias(f"known_{a}") for a in attributes])
