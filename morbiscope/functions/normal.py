@@ -43,19 +43,22 @@ def parse_day(text: Column) -> Column:
 
     Anything else, and days that do not exist, give null.
     """
+    # The common notation is read as it is; the pattern below is for the others.
+    common = (F.length(text) == 10) & (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-") & text.between("0001", "9999-99-99")
     trimmed = trim_all(text)
     usable = trimmed.rlike(r"^(?!0000)\d{4}([-/.]?)\d{2}\1\d{2}(?:[T ].*)?$")
     digits = F.translate(F.substring(trimmed, 1, 10), "-/.", "")
     iso = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))
-    return F.when(usable, iso.try_cast("date"))
+    return F.when(common, text.try_cast("date")).when(usable, iso.try_cast("date"))
 
 
 def parse_instant(text: Column) -> Column:
     """An instant (timestamp) from ISO-8601 text; text without a zone is UTC, bad text gives null."""
+    common = (F.length(text) == 25) & (F.substring(text, 11, 1) == "T") & F.substring(text, 20, 1).isin("+", "-") & (F.substring(text, 23, 1) == ":")
     trimmed = trim_all(text)
     zoned = trimmed.rlike(r"\d:\d.*(?:[Zz]|[+-]\d{2}:?\d{2})$")
     full = F.when(zoned, trimmed).when(F.length(trimmed) == 10, F.concat(trimmed, F.lit("T00:00:00Z"))).otherwise(F.concat(trimmed, F.lit("Z")))
-    return F.try_to_timestamp(full)
+    return F.when(common, text.try_cast("timestamp")).otherwise(F.try_to_timestamp(full))
 
 
 def instant_micros(text: Column) -> Column:
@@ -65,10 +68,10 @@ def instant_micros(text: Column) -> Column:
 
 def parse_number(text: Column) -> Column:
     """A decimal number by value (``07`` = ``7`` = ``7.0``); placeholders and other text give null."""
-    return null_if_placeholder(text).try_cast("decimal(38,9)")
+    return F.coalesce(text.try_cast("decimal(38,9)"), trim_all(text).try_cast("decimal(38,9)"))
 
 
 def parse_int(text: Column) -> Column:
     """An integer by value, null where the text is no whole number."""
-    trimmed, number = trim_all(text), parse_number(text)
-    return F.when(trimmed.rlike(r"^\d{1,9}$"), trimmed.cast("int")).when(number == F.floor(number), number.try_cast("int"))
+    number = trim_all(text).try_cast("decimal(38,9)")
+    return F.coalesce(text.try_cast("int"), F.when(number % 1 == 0, number.try_cast("int")))

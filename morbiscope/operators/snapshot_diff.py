@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from morbiscope.runtime import written
+
 
 def canonical_hash(columns: Sequence[Column]) -> Column:
     """64-bit hash of the row's values, with null distinguished from every value."""
@@ -42,12 +44,13 @@ def snapshot_changes(rows: DataFrame, keys: Sequence[str], values: Sequence[str]
     )
     ks, vs = [f"k{i}" for i in range(len(keys))], [f"v{i}" for i in range(len(values))]
     records = known.groupBy("snap", *ks).agg(F.max("version").alias("version"))
-    # The order of snapshots: one row per distinct snapshot, each with its successor.
-    by_snap = Window.orderBy("snap")
-    order = known.select("snap").distinct().select("snap", F.lead("snap").over(by_snap).alias("next_snap"), F.lag("snap").over(by_snap).alias("prior_snap"))
     records = records.select(
         "snap", *ks, *[F.col(f"version.{v}").alias(v) for v in vs]
     ).withColumn("row_hash", canonical_hash([F.col(v) for v in vs]))
+    records = written(records, "snapshot-records")  # both sides of the join and the order read it
+    # The order of snapshots: one row per distinct snapshot, each with its successor.
+    by_snap = Window.orderBy("snap")
+    order = records.select("snap").distinct().select("snap", F.lead("snap").over(by_snap).alias("next_snap"), F.lag("snap").over(by_snap).alias("prior_snap"))
     old = records.join(order, "snap").where("next_snap is not null").select(
         F.col("next_snap").alias("snap"), *ks, *[F.col(v).alias(f"old_{v}") for v in vs], F.col("row_hash").alias("old_hash")
     )

@@ -86,7 +86,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         N.parse_int(c("DATE_NUM")).alias("date_num"),
         N.trim_all(c("ingestion_date")).alias("ingestion_date"),
         N.parse_number(c("CASES")).alias("cases"),
-        N.parse_day(N.null_if_placeholder(c("START_DATE"))).alias("start_date"),
+        N.parse_day(c("START_DATE")).alias("start_date"),
         N.instant_micros(c("_fetched_at")).alias("fetched"),
     )
     return snapshot_changes(rows, ["reporting_unit", "iso3", "year_num", "date_type", "date_num"], ["cases", "start_date"], "ingestion_date", "fetched").select(
