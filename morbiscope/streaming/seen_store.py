@@ -3,35 +3,51 @@
 A structured stream feeds micro-batches to a keyed store of seen identifiers. For each identifier the
 store holds the delivery that is to stay so far. Entries whose event time fell behind the watermark expire
 from the hot state into an archive, which late deliveries are looked up in, so expiry never loses a
-duplicate. Each micro-batch writes its output and its next state into its own folders and then publishes
-both with one renamed commit file; a batch that was not published is redone as if it had never begun.
+duplicate. Hot state and archive are cut into buckets by the hash of the identifier; a micro-batch reads and
+rewrites only the buckets its identifiers fall into. It writes its output and these buckets into folders of
+its own and then publishes both with one renamed commit file, which names the files of every bucket; a
+batch that was not published is redone as if it had never begun.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: A back-fill is cut into at most so many micro-batches, each of at least so many files.
-BACKFILL_BATCHES, LEAST_FILES = 16, 8
+from morbiscope.runtime import fresh_dir
+
+#: A back-fill is cut into at most so many micro-batches, and into at least three where it can be.
+BACKFILL_BATCHES, LEAST_BATCHES = 16, 3
+#: Least and most buckets of the state (one per input file in between), and archive files of one bucket that are merged into one.
+LEAST_BUCKETS, MOST_BUCKETS, ARCHIVE_FILES = 8, 1024, 8
+
+Buckets = dict[str, list[str]]
 
 
 @dataclass(frozen=True)
 class Commit:
+    """The state after a batch: bucket number to folders, for the hot state and for the archive."""
+
     batch: int
     watermark: int | None  # microseconds
-    hot: str | None
+    buckets: int
+    hot: Buckets = field(default_factory=dict)
+    archive: Buckets = field(default_factory=dict)
+
+
+def _folders(buckets: Buckets, wanted: Sequence[str] | None = None) -> list[str]:
+    return sorted({p for b, paths in buckets.items() if wanted is None or b in wanted for p in paths})
 
 
 class SeenStore:
     """The state, output and commit log of one deduplicated stream below ``root`` (shared storage)."""
 
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], schema: StructType, delay_days: float):
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], schema: StructType, delay_days: float, buckets: int = LEAST_BUCKETS):
         self.spark, self.root, self.keys, self.delay = spark, root.rstrip("/"), list(keys), int(delay_days * 86_400e6)
         by = {f.name: f.dataType.simpleString() for f in schema}
         self.key_ddl = ", ".join(f"`{k}` {by[k]}" for k in self.keys)
@@ -40,15 +56,24 @@ class SeenStore:
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        last = self.last_commit()
+        self.buckets = last.buckets if last else buckets  # a store keeps the number it began with
 
     # ---- commit log -------------------------------------------------------------------------------------
-    def commits(self) -> list[Commit]:
-        folder = self._path(f"{self.root}/commits")
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath().toString() for s in self._fs.listStatus(folder)]
-        rows = [r.value for r in self.spark.read.text([n for n in names if n.endswith(".json")]).collect()] if names else []
-        return sorted((Commit(**json.loads(r)) for r in rows), key=lambda c: c.batch)
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(f"{self.root}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def last_commit(self) -> Commit | None:
+        """The newest commit; it names the whole state, so no earlier one is read."""
+        names = [n for n in self._names("commits") if n.endswith(".json")]
+        if not names:
+            return None
+        stream = self._fs.open(self._path(f"{self.root}/commits/{names[-1]}"))
+        try:
+            return Commit(**json.loads(bytes(stream.readAllBytes())))
+        finally:
+            stream.close()
 
     def _publish(self, commit: Commit) -> None:
         tmp, final = self._path(f"{self.root}/staging-{commit.batch}.json"), self._path(f"{self.root}/commits/{commit.batch:09d}.json")
@@ -58,15 +83,33 @@ class SeenStore:
         stream.close()
         if not self._fs.rename(tmp, final):
             raise OSError(f"commit {commit.batch} is already published")
+        for name in self._names("commits")[:-2]:  # superseded; one is kept for readers that have just listed it
+            self._fs.delete(self._path(f"{self.root}/commits/{name}"), False)
+
+    # ---- state ------------------------------------------------------------------------------------------
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets))
+
+    def _read(self, folders: list[str]) -> DataFrame | None:
+        return self.spark.read.schema(self.state_ddl).parquet(*folders) if folders else None
+
+    def _write(self, state: DataFrame, folder: str) -> tuple[Buckets, Buckets]:
+        """Hot state and archive, one folder per bucket that has rows; ``state`` has the column ``expired``."""
+        state.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("expired", "bucket").parquet(folder)
+
+        def side(flag: str) -> Buckets:
+            names = self._names(f"{folder.removeprefix(self.root + '/')}/expired={flag}")
+            return {n.removeprefix("bucket="): [f"{folder}/expired={flag}/{n}"] for n in names if n.startswith("bucket=")}
+
+        return side("false"), side("true")
 
     # ---- one micro-batch --------------------------------------------------------------------------------
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """``batch``: keys, ``id`` (bigint, unique), ``at`` (microseconds, null = earliest)."""
-        done = self.commits()
-        if done and done[-1].batch >= batch_id:
+        before = self.last_commit() or Commit(-1, None, self.buckets)
+        if before.batch >= batch_id:
             return
-        before = done[-1] if done else Commit(-1, None, None)
-        here = f"{self.root}/batches/{batch_id}"
+        here = f"{self.root}/batches/{batch_id:09d}"
         spark, keys = self.spark, self.keys
 
         # The slim rows of the batch; from here on plans run in the outer session, with adaptive execution.
@@ -75,21 +118,25 @@ class SeenStore:
         # Latest instant first, then smallest id; map-side combine leaves one row per key and task.
         rank = F.struct(F.coalesce("at", F.lit(-(2**63))).alias("at"), (-F.col("id")).alias("neg"))
         new = rows.groupBy(*keys).agg(F.max(rank).alias("best"))
-
-        held = [spark.read.schema(self.state_ddl).parquet(before.hot)] if before.hot else []
-        archives = [f"{self.root}/batches/{c.batch}/archive" for c in done if c.hot]
-        if archives:
-            late = spark.read.schema(self.state_ddl).parquet(*archives)
-            late = late.join(new.select(*keys), keys, "left_semi")
-            held.append(late.groupBy(*keys).agg(F.max("best").alias("best"), F.max("seen").alias("seen")).select(*keys, "best", "seen"))
-        hot = None
+        top, numbers = rows.agg(F.max("at"), F.collect_set(self._bucket())).first()  # at most all buckets
+        touched = sorted(map(str, numbers))
+
+        # What the touched buckets hold: all of the hot state, and of the archive the keys of the batch, unless
+        # a bucket's archive has grown to so many files that it is merged on this occasion.
+        crowded = [b for b in touched if len(before.archive.get(b, ())) >= ARCHIVE_FILES]
+        calm = [b for b in touched if b not in crowded]
+        held = [self._read(_folders(before.hot, touched)), self._read(_folders(before.archive, crowded))]
+        if (late := self._read(_folders(before.archive, calm))) is not None:
+            held.append(late.join(new.select(*keys), keys, "left_semi"))
+        prior = None
         for part in held:
-            hot = part if hot is None else hot.unionByName(part)
-        if hot is None:
-            merged = new.select(*keys, F.lit(None).cast("struct<at:bigint,neg:bigint>").alias("prior"), F.col("best").alias("fresh"))
+            if part is not None:
+                prior = part if prior is None else prior.unionByName(part)
+        fresh = new.withColumnRenamed("best", "fresh")
+        if prior is None:
+            merged = fresh.select(*keys, F.lit(None).cast("struct<at:bigint,neg:bigint>").alias("prior"), "fresh")
         else:
-            prior = hot.groupBy(*keys).agg(F.max("best").alias("prior"))
-            merged = prior.join(new.withColumnRenamed("best", "fresh"), keys, "full_outer")
+            merged = prior.groupBy(*keys).agg(F.max("best").alias("prior")).join(fresh, keys, "full_outer")
         merged = merged.select(*keys, "prior", F.col("fresh").isNotNull().alias("touched"), F.greatest("prior", "fresh").alias("best"))
         merged.write.mode("overwrite").parquet(f"{here}/merged")
         merged = spark.read.schema(f"{self.key_ddl}, prior struct<at:bigint,neg:bigint>, touched boolean, best struct<at:bigint,neg:bigint>").parquet(f"{here}/merged")
@@ -101,36 +148,33 @@ class SeenStore:
         beaten.unionByName(displaced).write.mode("overwrite").parquet(f"{here}/out")
 
         # Next state: what the watermark has passed goes to the archive.
-        top = rows.agg(F.max("at")).first()[0]
         mark = max((x for x in (before.watermark, None if top is None else top - self.delay) if x is not None), default=None)
-        state = merged.select(*keys, "best", F.col("best.at").alias("seen"))
-        expired = F.lit(False) if mark is None else F.col("seen") < mark
-        state.where(~expired).write.mode("overwrite").parquet(f"{here}/hot")
-        state.where(expired).write.mode("overwrite").parquet(f"{here}/archive")
-        self._publish(Commit(batch_id, mark, f"{here}/hot"))
+        expired = F.lit(False) if mark is None else F.col("best.at") < mark
+        kept, gone = self._write(merged.select(*keys, "best", F.col("best.at").alias("seen"), expired.alias("expired")), f"{here}/state")
+        hot = {b: p for b, p in before.hot.items() if b not in touched} | kept
+        archive = {b: p for b, p in before.archive.items() if b not in crowded}
+        self._publish(Commit(batch_id, mark, self.buckets, hot, archive | {b: [*archive.get(b, []), *p] for b, p in gone.items()}))
 
     # ---- results ----------------------------------------------------------------------------------------
     def removed(self) -> DataFrame:
         """``id`` of every delivery that must go, over all published batches."""
-        paths = [f"{self.root}/batches/{c.batch}/out" for c in self.commits()]
+        last = self.last_commit()
+        done = [n for n in self._names("batches") if last and int(n) <= last.batch]
+        paths = [f"{self.root}/batches/{n}/out" for n in done]
         return self.spark.read.schema(self.out_ddl).parquet(*paths) if paths else self.spark.createDataFrame([], self.out_ddl)
 
     def kept(self) -> DataFrame:
         """The keys and ``id`` of the delivery that stays of every message."""
-        done = self.commits()
-        if not done:
+        last = self.last_commit()
+        state = self._read(sorted({*_folders(last.hot), *_folders(last.archive)})) if last else None
+        if state is None:
             return self.spark.createDataFrame([], f"{self.key_ddl}, id bigint")
-        paths = [done[-1].hot, *[f"{self.root}/batches/{c.batch}/archive" for c in done]]
-        state = self.spark.read.schema(self.state_ddl).parquet(*paths)
         return state.groupBy(*self.keys).agg(F.max("best").alias("best")).select(*self.keys, (-F.col("best.neg")).alias("id"))
 
 
-def files_per_batch(spark: SparkSession, path: str) -> int:
-    """Files a micro-batch of a back-fill takes, so that the number of state rewrites stays bounded."""
+def _files(spark: SparkSession, path: str) -> int:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = int(fs.getContentSummary(hadoop_path).getFileCount())
-    return max(LEAST_FILES, -(-files // BACKFILL_BATCHES))
+    return int(hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop_path).getFileCount())
 
 
 def deduplicate_deliveries(
@@ -142,6 +186,7 @@ def deduplicate_deliveries(
     *,
     delay_days: float = 14,
     max_files: int | None = None,
+    buckets: int | None = None,
 ) -> SeenStore:
     """Stream the parquet table at ``path`` through a ``SeenStore`` at ``root`` until all files are read.
 
@@ -153,17 +198,28 @@ def deduplicate_deliveries(
     Defined cases: rows with a null key part are no messages and pass without being stored; repeated rows
     of one id count once; an empty table gives empty results; other columns never reach the state.
 
-    Scale: per batch one map-side-combined aggregation, one join of changed keys with the state and one join
-    of the batch's slim rows with their key's best (AQE splits a hot key there). The hot state is bounded
-    by the keys seen within ``delay_days``.
+    A back-fill of ``n`` files is read in ``BACKFILL_BATCHES`` micro-batches at most and ``LEAST_BATCHES`` at
+    least; a table in fewer files is first laid out anew in as many (in its slim columns).
+
+    Scale: per batch one map-side-combined aggregation, one join of the batch's keys with the buckets they
+    fall into and one join of the batch's slim rows with their key's best (AQE splits a hot key there). A
+    batch of few identifiers reads as many buckets at most, whatever was seen before; there is
+    one bucket per file of the back-fill, so one of them is about a file's share of the keys. The archive of a bucket never exceeds ``ARCHIVE_FILES``
+    files for long, a commit names all of the state, and superseded commits are deleted.
     """
+    files = _files(spark, path)
+    if files < LEAST_BATCHES and max_files is None and not spark.read.parquet(path).isEmpty():
+        slim = fresh_dir(spark, "landing")
+        prepare(spark.read.parquet(path)).repartition(LEAST_BATCHES).write.parquet(slim)
+        path, files, prepare = slim, LEAST_BATCHES, lambda landed: landed
     # As a glob, the path may be one file as well as a folder.
     glob = f"{path[:-1]}[{path[-1]}]"
-    raw = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files or files_per_batch(spark, path)).parquet(glob)
+    per_batch = max_files or max(1, files // LEAST_BATCHES if files <= LEAST_BATCHES * BACKFILL_BATCHES else -(-files // BACKFILL_BATCHES))
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_batch).parquet(glob)
     rows = prepare(raw)
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    store = SeenStore(spark, root, keys, rows.schema, delay_days)
+    store = SeenStore(spark, root, keys, rows.schema, delay_days, buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, files)))
     query = (
         rows.writeStream.foreachBatch(store.apply)
         .option("checkpointLocation", f"{root}/stream")

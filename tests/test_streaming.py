@@ -34,7 +34,7 @@ def test_many_batches_expiry_and_late_rows_give_the_batch_answer(spark, tmp_path
     for n in range(8):
         put(spark, src, n, data[n * 50 : n * 50 + 50])
     store = run(spark, src, f"file://{tmp_path}/root", delay_days=2, max_files=1)
-    assert len(store.commits()) == 8
+    assert store.last_commit().batch == 7
     best = {}
     for k, i, at, _ in data:
         best[k] = max(best.get(k, (-(2**70), 0)), (-(2**63) if at is None else at, -i))
@@ -50,17 +50,17 @@ def test_restart_reads_only_new_files_and_replays_are_ignored(spark, tmp_path):
     put(spark, src, 1, [("a", 3, 90 * DAY, ""), ("b", 4, 0, "")])
     store = run(spark, src, root, delay_days=1)
     assert sorted(r[0] for r in store.removed().collect()) == [1, 4]
-    n = len(store.commits())
+    n = store.last_commit()
     batch = spark.createDataFrame([("a", 99, 99 * DAY)], "k string, id bigint, at bigint")
     store.apply(batch, 0)  # a replay of a published batch
-    assert len(store.commits()) == n and sorted(r[0] for r in store.removed().collect()) == [1, 4]
+    assert store.last_commit() == n and sorted(r[0] for r in store.removed().collect()) == [1, 4]
 
 
 def test_unpublished_batch_is_redone(spark, tmp_path):
     root = f"file://{tmp_path}/root"
     batch = spark.createDataFrame([("a", 1, 1), ("a", 2, 2)], "k string, id bigint, at bigint")
     store = SeenStore(spark, root, ["k"], batch.schema, 14)
-    batch.write.parquet(f"{root}/batches/0/rows")  # what a lost driver left behind
+    batch.write.parquet(f"{root}/batches/000000000/rows")  # what a lost driver left behind
     store.apply(batch, 0)
     assert [r[0] for r in store.removed().collect()] == [1]
 
@@ -70,3 +70,20 @@ def test_empty_table(spark, tmp_path):
     put(spark, src, 0, [])
     store = run(spark, src, f"file://{tmp_path}/root")
     assert store.removed().count() == 0 and store.kept().count() == 0
+
+
+def test_cost_of_a_batch_does_not_grow_with_history(spark, tmp_path):
+    """Fifty batches of a stream that never repeats: what a batch reads of the state, in folders, stays bounded."""
+    root = f"file://{tmp_path}/root"
+    ddl = "k string, id bigint, at bigint"
+    store = SeenStore(spark, root, ["k"], spark.createDataFrame([], ddl).schema, 1, buckets=4)
+    reads, plain = [], store._read
+    store._read = lambda folders: (reads.append(len(folders)), plain(folders))[1]
+    for n in range(50):  # batches
+        store.apply(spark.createDataFrame([(f"k{n}", n, n * DAY)], ddl), n)
+        if n % 10 == 9:
+            late = [(f"k{n - 9}", 1000 + n, 0)]  # seen long ago, expired since
+            store.apply(spark.createDataFrame(late, ddl), 100 + n) if n == 49 else None
+    assert max(reads) <= 9 and len(store._names("commits")) <= 2
+    assert [r[0] for r in store.removed().collect()] == [1049]
+    assert store.kept().count() == 50
