@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,13 +31,18 @@ def build_session(app: str = "morbiscope", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (single-machine tests) a local temporary folder is made.
+    Where the session names none, a temporary folder is made that the process deletes at its end, on a
+    ``local`` master only: on a cluster every executor would write to its own disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL_SHARED:
-        _LOCAL_SHARED.append("file://" + tempfile.mkdtemp(prefix="morbiscope-"))
+        folder = tempfile.mkdtemp(prefix="morbiscope-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_SHARED.append(f"file://{folder}")
     return _LOCAL_SHARED[0]
 
 
@@ -61,6 +68,16 @@ def clean_up(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its scan is cut into fewer parts than there are (one row group, say).
+
+    For work that costs much more CPU time than the rows' way to another task; larger inputs are cut finely
+    enough and stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
