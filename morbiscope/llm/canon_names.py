@@ -19,6 +19,7 @@ UNMATCHED = "UNMATCHED"
 BLOCK_ENTRIES = 50_000
 EXACT, ALIAS, PREFIX, ELSEWHERE, FUZZY_ALIAS = 0.0, 0.25, 0.4, 0.5, 0.25
 LEAST_PREFIX = 4
+MOST_EDITS = 3
 
 # Words that name the kind of a unit, or say that a figure is its sum.
 QUALIFIERS = (
@@ -39,6 +40,10 @@ DIGIT_LETTERS = str.maketrans("01345689", "oleasgbg")
 CONFUSED = (("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("oo", "u"), ("ii", "u"), ("ee", "i"), ("ph", "f"), ("ck", "k"), ("ks", "x"))
 
 
+# The pairs of letters that stand for one letter, and the letter that a pair stands for.
+_GROUPS_OF = {one: tuple(two for two, o in CONFUSED if o == one) for _, one in CONFUSED}
+_SINGLE_OF = {two: one for two, one in CONFUSED}
+
 _MOJIBAKE = re.compile("[ÃãÂâÄäÅåÆæá»º][\x80-\xbf‘’“”•–—˜™š›œžŸ€‚ƒ„…†‡ˆ‰Š‹ŒŽ]")
 
 
@@ -103,6 +108,11 @@ def edit_limit(length: int) -> int:
     return 0 if length < 4 else 1 if length < 7 else 2 if length < 9 else 3
 
 
+def walk_limit(length: int) -> int:
+    """The most edits that a typed form of ``length`` letters may be away from any entry it can mean."""
+    return max(min(edit_limit(n), MOST_EDITS) for n in range(max(length - MOST_EDITS, 0), length + MOST_EDITS + 1) if abs(n - length) <= edit_limit(n))
+
+
 def cost(typed: str, entry: str) -> int:
     """Edits between two words: letters inserted, left out, exchanged or swapped, and confused groups."""
     n, m = len(typed), len(entry)
@@ -142,39 +152,49 @@ class Trie:
         self.forms[at] = form
 
     def within(self, word: str, edits: int) -> list[str]:
-        """Every form at most ``edits`` insertions, deletions, exchanges or swaps of neighbours away.
+        """Every form at most ``edits`` away: insertions, deletions, exchanges, swaps of neighbours and confused groups.
 
         State: for each number of edits the set (bit i = first i letters of ``word`` read) of positions
-        reachable, and the set of swaps begun. A branch ends where no position is left.
+        reachable, and the set of swaps begun. A confused group is one transition: two letters of the word
+        for one of the form from the state before it, or one for two from the state before the letter before.
+        A branch ends where no position is left.
         """
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
+        pairs: dict[str, int] = {}
+        for i in range(len(word) - 1):
+            pairs[word[i : i + 2]] = pairs.get(word[i : i + 2], 0) | 1 << i
         full, done = (1 << (len(word) + 1)) - 1, 1 << len(word)
         start = [(1 << (j + 1)) - 1 & full for j in range(edits + 1)]
-        found, todo = [], [(0, start, [0] * (edits + 1))]
+        found, todo = [], [(0, "", start, [0] * (edits + 1), [0] * (edits + 1))]
         while todo:
-            node, old, swaps = todo.pop()
+            node, letter, old, older, swaps = todo.pop()
             form = self.forms[node]
             if form is not None and old[edits] & done:
                 found.append(form)
             for c, child in self.children[node].items():
                 m = masks.get(c, 0)
+                two_for_one = 0
+                for group in _GROUPS_OF.get(c, ()):
+                    two_for_one |= pairs.get(group, 0)
+                one_for_two = masks.get(_SINGLE_OF.get(letter + c, ""), 0)
                 new, begun = [(old[0] & m) << 1], [0]
                 for j in range(1, edits + 1):
                     low = old[j - 1]
-                    new.append((((old[j] & m) << 1) | low | (low << 1) | (new[j - 1] << 1) | ((swaps[j] & m) << 2)) & full)
+                    reach = ((old[j] & m) << 1) | low | (low << 1) | (new[j - 1] << 1) | ((swaps[j] & m) << 2)
+                    new.append((reach | ((low & two_for_one) << 2) | ((older[j - 1] & one_for_two) << 1)) & full)
                     begun.append(low & (m >> 1))
                 if new[edits]:
-                    todo.append((child, new, begun))
+                    todo.append((child, c, new, old, begun))
         return found
 
 
 class NameMatcher:
     """Units of one block of the reference list, by country."""
 
-    def __init__(self, entries: Iterable[tuple[str, str | None, str | None]], elsewhere: Iterable[str] = ()):
-        """``entries``: (country, name or null, unit); ``elsewhere``: names of countries."""
+    def __init__(self, entries: Iterable[tuple[str, str | None, str | None]], elsewhere: Iterable[str] = (), aliases: Iterable[tuple[str, str | None, str | None]] = ()):
+        """``entries``: (country, name or null, unit); ``elsewhere``: names of countries; ``aliases``: other names of units."""
         self.tries: dict[str, Trie] = {}
         self.units: dict[str, dict[str, list[tuple[str, float]]]] = {}
         self.prefixes: dict[str, dict[str, set[str]]] = {}
@@ -190,63 +210,95 @@ class NameMatcher:
                     self.other.add(form)
                     for n in range(LEAST_PREFIX, len(form)):
                         self.prefixes.setdefault(country, {}).setdefault(form[:n], set()).add(unit)
+        for country, alias, unit in aliases:
+            form = fold(alias).replace(" ", "") if alias else ""
+            if form and unit is not None:
+                self.tries.setdefault(country, Trie()).add(form)
+                self.units.setdefault(country, {}).setdefault(form, []).append((unit, ALIAS))
 
     def match(self, country: str, name: str) -> list[tuple[str | None, float]]:
         """The units that fit best, with their cost; a null unit means a place that is none of the country."""
         return self._match(country, fold(name))
 
-    @lru_cache(maxsize=200_000)  # noqa: B019
-    def _match(self, country: str, folded: str) -> list[tuple[str | None, float]]:
-        best: dict[str | None, float] = {}
-
-        def offer(unit: str | None, price: float) -> None:
-            best[unit] = min(price, best.get(unit, 99.0))
+    def within(self, country: str, name: str) -> dict[str, float]:
+        """Every unit with a form within the distance that its length allows, with the least cost."""
+        found = {u: p for u, p in self._listed(country, fold(name)).items() if u is not None}
+        for unit, price in self._walked(country, fold(name), MOST_EDITS).items():
+            found[unit] = min(price, found.get(unit, price))
+        return found
 
-        units, prefixes, trie = self.units.get(country, {}), self.prefixes.get(country, {}), self.tries.get(country)
-        variants = [v for v in _plain_variants(folded) if v]
-        for v in variants:
+    def _listed(self, country: str, folded: str) -> dict[str | None, float]:
+        """Units that have a variant of the name as a form or as a beginning."""
+        best: dict[str | None, float] = {}
+        units, prefixes = self.units.get(country, {}), self.prefixes.get(country, {})
+        for v in filter(None, _plain_variants(folded)):
             for unit, extra in units.get(v, ()):
-                offer(unit, extra)
+                best[unit] = min(extra, best.get(unit, extra))
             for unit in prefixes.get(v, ()):
-                offer(unit, PREFIX)
+                best[unit] = min(PREFIX, best.get(unit, PREFIX))
             if v in self.other and v not in units:
-                offer(None, ELSEWHERE)
-        if not best and trie:
-            # A confused group may be one more letter edit than its cost, so the walk is wider than the limit;
-            # the widest walk is left to words that nothing closer was found for.
-            for widest in (2, 3):
-                for v in variants:
-                    for form in trie.within(v, min(widest, edit_limit(len(v) + 1)) + 1) if len(v) >= LEAST_PREFIX else ():
-                        price = cost(v, form)
-                        for unit, extra in units[form]:
-                            if price <= min(widest, edit_limit(len(form)), 3 if extra == EXACT else 2):
-                                offer(unit, price + (FUZZY_ALIAS if extra else 0))
-                if best:
-                    break
+                best[None] = min(ELSEWHERE, best.get(None, ELSEWHERE))
+        return best
+
+    def _walked(self, country: str, folded: str, widest: int) -> dict[str | None, float]:
+        """Units that the automaton of a variant finds in the trie, at most ``widest`` edits away."""
+        best: dict[str | None, float] = {}
+        trie, units = self.tries.get(country), self.units.get(country, {})
+        if trie is None:
+            return best
+        for v in filter(None, _plain_variants(folded)):
+            edits = min(widest, walk_limit(len(v)))
+            for form in trie.within(v, edits) if edits else ():
+                price = cost(v, form)
+                for unit, extra in units[form]:
+                    if price <= min(widest, edit_limit(len(form)), MOST_EDITS if extra == EXACT else 2):
+                        whole = price + (FUZZY_ALIAS if extra else 0)
+                        best[unit] = min(whole, best.get(unit, whole))
+        return best
+
+    @lru_cache(maxsize=200_000)  # noqa: B019
+    def _match(self, country: str, folded: str) -> list[tuple[str | None, float]]:
+        # A walk costs as its width, so the widest is left to words that nothing closer was found for.
+        best = self._listed(country, folded) or self._walked(country, folded, 2) or self._walked(country, folded, MOST_EDITS)
         least = min(best.values(), default=0)
         return [(u, p) for u, p in best.items() if p == least]
 
 
-def match_names(names: DataFrame, reference: DataFrame, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
-    """(``country``, ``name``) of ``names`` with ``units`` (array of all units that fit equally well, may be empty).
+def match_names(names: DataFrame, reference: DataFrame, block_entries: int = BLOCK_ENTRIES, aliases: DataFrame | None = None, every: bool = False) -> DataFrame:
+    """(``country``, ``name``) of ``names`` with ``units``: all units that fit equally well (may be empty).
+
+    With ``every`` instead one row per name and unit within the distance that the entry's length allows,
+    with its ``price``. ``aliases`` (``country``, ``alias``, ``unit``) lists further names of units.
 
-    The list is read in blocks of ``block_entries`` names of a stated order, so that neither the driver nor a
-    worker ever holds more; each block's trie meets all names, and the best of all blocks holds.
+    Matching costs CPU time, not bytes, so the names are dealt to ``spark.sql.shuffle.partitions`` tasks by number
+    and each block of the list is matched once and written. The list is read in blocks of ``block_entries``
+    entries, one after the other: neither the driver nor a worker ever holds more than one, and the best of all
+    blocks holds.
     """
-    ref = reference.where("country is not null").select("country", "name", "unit", "country_name").distinct()
+    spark = names.sparkSession
+    ref = reference.where("country is not null").select("country", "name", "unit", "country_name", F.lit(False).alias("other")).distinct()
+    if aliases is not None:
+        ref = ref.unionByName(aliases.where("country is not null").select("country", F.col("alias").alias("name"), "unit", F.lit(None).cast("string").alias("country_name"), F.lit(True).alias("other")).distinct())
     blocks = max(1, -(-ref.count() // block_entries))
-    ref = ref.withColumn("block", F.pmod(F.xxhash64("country", "name", "unit"), F.lit(blocks)) if blocks > 1 else F.lit(0))
+    block = F.pmod(F.xxhash64("country", "name", "unit"), F.lit(blocks))
+    dealt = names.select("country", "name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if blocks > 1:
+        dealt = written(dealt, "typed-names-dealt")
     found = None
     for b in range(blocks):
-        rows = ref.where(F.col("block") == b).collect()  # about block_entries rows
-        entries = [(r["country"], r["name"], r["unit"]) for r in rows]
+        rows = (ref.where(block == b) if blocks > 1 else ref).collect()  # about block_entries rows
+        entries = [(r["country"], r["name"], r["unit"]) for r in rows if not r["other"]]
+        more = [(r["country"], r["name"], r["unit"]) for r in rows if r["other"]]
         elsewhere = sorted({r["country_name"] for r in rows if r["country_name"]})
 
-        def run(batches: Iterator[pa.RecordBatch], entries=entries, elsewhere=elsewhere) -> Iterator[pa.RecordBatch]:
-            matcher = NameMatcher(entries, elsewhere)
+        def run(batches: Iterator[pa.RecordBatch], entries=entries, elsewhere=elsewhere, more=more) -> Iterator[pa.RecordBatch]:
+            matcher = NameMatcher(entries, elsewhere, more)
             for batch in batches:
                 out: list[tuple] = []
                 for country, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if every:
+                        out += [(country, name, [u], p) for u, p in sorted(matcher.within(country, name).items())]
+                        continue
                     hits = matcher.match(country, name)
                     out.append((country, name, [u for u, _ in hits if u is not None] if (None not in dict(hits)) else [], min((p for _, p in hits), default=99.0)))
                 columns = list(zip(*out)) or [(), (), (), ()]
@@ -255,19 +307,22 @@ def match_names(names: DataFrame, reference: DataFrame, block_entries: int = BLO
                     names=["country", "name", "units", "price"],
                 )
 
-        part = names.select("country", "name").mapInArrow(run, "country string, name string, units array<string>, price double")
+        part = written(dealt.mapInArrow(run, "country string, name string, units array<string>, price double"), "matched-names")
         found = part if found is None else found.unionByName(part)
+    if every:
+        return found.select("country", "name", F.explode("units").alias("unit"), "price").groupBy("country", "name", "unit").agg(F.min("price").alias("price"))
     if blocks == 1:
         return found.select("country", "name", "units")
     least = found.groupBy("country", "name").agg(F.min("price").alias("price"))
     return found.join(least, ["country", "name", "price"]).groupBy("country", "name").agg(F.array_distinct(F.flatten(F.collect_list("units"))).alias("units"))
 
 
-def map_names(rows: DataFrame, reference: DataFrame, *, id_col: str, learn_from: DataFrame | None = None, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+def map_names(rows: DataFrame, reference: DataFrame, *, id_col: str, learn_from: DataFrame | None = None, block_entries: int = BLOCK_ENTRIES, aliases: DataFrame | None = None) -> DataFrame:
     """``id_col`` and ``unit`` of every row, ``UNMATCHED`` where no unit is meant.
 
     ``rows``: ``id_col``, ``country``, ``name``, ``code``; ``reference``: ``country``, ``name``, ``unit``,
-    ``country_name``; ``learn_from``: ``country``, ``code``, ``unit`` of rows whose unit is certain.
+    ``country_name``; ``learn_from``: ``country``, ``code``, ``unit`` of rows whose unit is certain; ``aliases``:
+    ``country``, ``alias``, ``unit``, further names of units.
 
     The name decides. Only where it fits several units equally well, the row's code chooses among these: the
     unit most of whose certain rows carry that code (codes need not be numbered like units, and may be
@@ -281,7 +336,7 @@ def map_names(rows: DataFrame, reference: DataFrame, *, id_col: str, learn_from:
     their answer in an equi-join that AQE may split at a hot name or broadcast when measured as small.
     """
     names = rows.where("country is not null and name is not null").select("country", "name").distinct()
-    answers = match_names(names, reference, block_entries)
+    answers = match_names(names, reference, block_entries, aliases)
     joined = rows.join(answers, ["country", "name"], "left").select(id_col, "country", "code", "units")
     sure = joined.where("units is null or size(units) <= 1").select(id_col, F.coalesce(F.get("units", F.lit(0)), F.lit(UNMATCHED)).alias("unit"))
     open_rows = joined.where("size(units) > 1")

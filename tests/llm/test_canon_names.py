@@ -46,6 +46,35 @@ def test_automaton_finds_exactly_the_forms_within_the_distance():
         assert sorted(trie.within(w, k)) == sorted(f for f in forms if osa(w, f) <= k)
 
 
+def test_automaton_takes_confused_groups_as_one_edit():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["rn", "m", "cl", "d", "oo", "u", "k", "r", "n", "o"]) for _ in range(rng.randrange(1, 6)))
+    forms = {word() for _ in range(150)}
+    trie = C.Trie()
+    for f in forms:
+        trie.add(f)
+    for _ in range(150):
+        w, k = word(), rng.randrange(4)
+        assert sorted(trie.within(w, k)) == sorted(f for f in forms if C.cost(w, f) <= k)
+
+
+def test_short_names_and_several_groups_are_walked():
+    m = C.NameMatcher([("A", "Kolu", "1"), ("A", "Bornakarn", "2"), ("A", "Minkost", "3")], aliases=[("A", "Old Harbour", "3"), ("A", None, "1"), ("B", "x", None)])
+    assert m.match("A", "Kol") == [("1", 1)] and m.match("A", "Ko") == []
+    assert m.match("A", "Bomakam") == [("2", 2)] and m.match("A", "Minkk") == []
+    assert m.match("A", "Mikos") == [("3", 2)]  # two letters are missing of seven
+    assert m.match("A", "old harbour") == [("3", C.ALIAS)] and [u for u, _ in m.match("A", "Old Harbuor")] == ["3"]
+    assert m.within("A", "Bornakar") == {"2": C.PREFIX}
+
+
+def test_every_entry_within_the_distance(spark):
+    names = spark.createDataFrame([("PHL", "Rikketser"), ("PHL", "Nowhere")], "country string, name string")
+    ref = spark.createDataFrame([(c, n, u, "Philippines") for c, n, u in ENTRIES], "country string, name string, unit string, country_name string")
+    for block in (50_000, 2):
+        got = C.match_names(names, ref, block, every=True)
+        assert sorted(tuple(r) for r in got.collect()) == [("PHL", "Rikketser", "PH05", 1.0), ("PHL", "Rikketser", "PH06", 1.0)]
+
+
 def test_rows_codes_ties_and_blocks(spark):
     rows = spark.createDataFrame(
         [(1, "PHL", "Rikkets", "PH26", 0), (2, "PHL", "Rikkets", "PH24", 0), (3, "PHL", "Rikkets", None, 0), (4, "PHL", "Rikkets", "PH99", 0), (5, "PHL", "rikketsurr", "PH24", 0), (6, None, "Rikketsur", None, 0), (7, "PHL", None, None, 0), (8, "PHL", "Nowhere", "PH26", 0), (8, "PHL", "Nowhere", "PH26", 0)],
