@@ -39,6 +39,12 @@ def split_headline(title: Column, publisher: Column) -> tuple[Column, Column]:
     return headline, F.when(last | first, publisher)
 
 
+def digest(columns: Sequence[Column]) -> tuple[Column, Column]:
+    """128 bits, as two numbers, that stand for the values of many columns (null apart from every value)."""
+    parts = [x for c in columns for x in (c, c.isNull())]
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
+
+
 def refine_copies(rows: DataFrame, id_col: str, refinements: Sequence[Sequence[Column]], exact: Sequence[str]) -> DataFrame:
     """``first_id``, ``copy_id`` and ``copies`` for every member of a group of copies but the smallest id.
 
@@ -50,25 +56,23 @@ def refine_copies(rows: DataFrame, id_col: str, refinements: Sequence[Sequence[C
     id counts as one more copy of itself and is not reported; empty tables and tables without copies give an
     empty result; columns not named are carried by nobody, so their names cannot clash.
 
-    Scale: each refinement counts 8-byte class keys with map-side combine and keeps, by a semi-join, members
-    of classes larger than one; a hot group is one row per map task in every count, and its members are
-    only met again in joins that AQE may split. No group is ever collected.
+    Scale: the id, the class and the exact columns are written once and are all that moves; callers keep wide
+    columns out of ``exact`` by their ``digest``. Each refinement counts 8-byte class keys with map-side
+    combine and writes those of several members, so the semi-join that keeps their rows broadcasts them
+    only if they were measured as small. A hot group is one row per map task in every count, and its members
+    are only met again in joins that AQE may split. No group is ever collected.
     """
-    key: Column = F.lit(0).cast("long")
-    now, name = rows, "class_key"
-    while name in rows.columns:
-        name += "_"
-    for level, invariants in enumerate(refinements):
-        now = now.withColumn(name, F.xxhash64(key, *invariants))
-        several = now.groupBy(name).agg(F.count("*").alias("members")).where("members > 1").select(name)
-        now = now.join(several, name, "left_semi")
-        if level == 0:  # what is left is met several times from here on
-            now = written(now, "copies")
-        key = F.col(name)
-    keyed = now.select(F.xxhash64(key, *[F.col(c) for c in exact]).alias("class_key"), F.col(id_col).alias("row_id"), *[F.col(c).alias(f"x_{c}") for c in exact])
     xs = [f"x_{c}" for c in exact]
-    groups = keyed.groupBy("class_key", *xs).agg(F.min("row_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
-    k, g = keyed.alias("k"), groups.alias("g")
+    now = rows.select(F.col(id_col).alias("row_id"), *[F.col(c).alias(x) for c, x in zip(exact, xs)], F.xxhash64(*refinements[0]).alias("class_key"))
+    now = written(now, "copies-slim")
+    for level, invariants in enumerate(refinements):
+        if level:
+            by_name = now.select("row_id", *xs, "class_key", *[F.col(x).alias(c) for c, x in zip(exact, xs)])
+            now = written(by_name.select("row_id", *xs, F.xxhash64("class_key", *invariants).alias("class_key")), "copies-refined")
+        several = now.groupBy("class_key").agg(F.count("*").alias("members")).where("members > 1").select("class_key")
+        now = now.join(written(several, "copies-classes"), "class_key", "left_semi")
+    groups = now.groupBy("class_key", *xs).agg(F.min("row_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+    k, g = now.alias("k"), groups.alias("g")
     on = F.col("k.class_key") == F.col("g.class_key")
     for x in xs:
         on = on & F.col(f"k.{x}").eqNullSafe(F.col(f"g.{x}"))
@@ -78,22 +82,19 @@ def refine_copies(rows: DataFrame, id_col: str, refinements: Sequence[Sequence[C
 def place_copies(opendengue: DataFrame) -> DataFrame:
     """Copies among location rows: the two names in either order say the same, all other content is equal."""
     skip = {"record_id", "_source", "_source_file", "_ingested_at", "adm_0_name", "adm_1_name"}
-    others = [c for c in opendengue.columns if c not in skip]
-    lo, hi = unordered_pair(F.col("name0"), F.col("name1"))
-    rows = opendengue.select("record_id", *others, bare(F.col("adm_0_name")).alias("name0"), bare(F.col("adm_1_name")).alias("name1"))
-    rows = rows.select("record_id", *others, lo.alias("name_lo"), hi.alias("name_hi"))
+    high, low = digest([F.col(c) for c in opendengue.columns if c not in skip])
+    rows = opendengue.select("record_id", high.alias("high"), low.alias("low"), bare(F.col("adm_0_name")).alias("name0"), bare(F.col("adm_1_name")).alias("name1"))
+    first, last = unordered_pair(F.col("name0"), F.col("name1"))
+    rows = rows.select("record_id", "high", "low", first.alias("name_lo"), last.alias("name_hi"))
     size = F.coalesce(F.length("name_lo"), F.lit(-1)) + F.coalesce(F.length("name_hi"), F.lit(-1))
-    return refine_copies(
-        rows,
-        "record_id",
-        [[size, *[F.col(c) for c in others]], [letter_histogram(F.concat(F.coalesce("name_lo", F.lit("")), F.coalesce("name_hi", F.lit(""))))]],
-        [*others, "name_lo", "name_hi"],
-    )
+    letters = letter_histogram(F.concat(F.coalesce("name_lo", F.lit("")), F.coalesce("name_hi", F.lit(""))))
+    return refine_copies(rows, "record_id", [[size, F.col("high"), F.col("low")], [letters]], ["high", "low", "name_lo", "name_hi"])
 
 
 def news_copies(news: DataFrame) -> DataFrame:
     """Copies among titled deliveries: headline and publisher say the same, in either order."""
     rows = news.where("title is not null").select("delivery_id", bare(F.col("title")).alias("t"), bare(F.col("source")).alias("p"))
     headline, publisher = split_headline(F.col("t"), F.col("p"))
-    rows = rows.select("delivery_id", headline.alias("headline"), publisher.alias("publisher"), F.length("t").alias("size"))
-    return refine_copies(rows, "delivery_id", [[F.col("size"), F.col("publisher")], [letter_histogram(F.col("headline"))]], ["headline", "publisher"])
+    rows = rows.select("delivery_id", headline.alias("headline"), publisher.alias("publisher"))
+    size = F.length("headline")
+    return refine_copies(rows, "delivery_id", [[size, F.col("publisher")], [letter_histogram(F.col("headline"))]], ["headline", "publisher"])
