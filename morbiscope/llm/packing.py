@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from morbiscope.llm import tree_tokenizer as T
-from morbiscope.runtime import written
+from morbiscope.runtime import spread, written
 
-#: Distinct lengths one window's subset-sum may use: the longest that fit, and as many spread over the rest.
+#: Lengths a window's subset sum begins with: the longest that fit, and as many spread over the rest; then come all others.
 LONGEST, SPREAD = 64, 64
 MAX_CAPACITIES, MAX_CAPACITY = 100, 1 << 20
 
@@ -28,9 +28,12 @@ def fill_window(counts: np.ndarray, lengths: np.ndarray, room: int) -> dict[int,
     """The multiset of lengths (length -> copies) whose sum is closest to ``room`` without exceeding it.
 
     Bit ``s`` of ``sums`` tells that the lengths so far can sum to ``s``. Copies of one length are added in
-    binary portions; the state before each portion is kept, so that counts are found by walking back.
+    binary portions; the state before each portion is kept, so that counts are found by walking back. Lengths
+    are taken in the order given, until the sum is reached that none can exceed: the largest multiple of their
+    common divisor up to ``room``. So the answer is exact over all lengths, and most windows need a few.
     """
-    mask, sums, goal = (1 << (room + 1)) - 1, 1, 1 << room
+    most = room - room % int(np.gcd.reduce(lengths)) if lengths.size else 0
+    mask, sums, goal = (1 << (room + 1)) - 1, 1, 1 << most
     steps: list[tuple[int, int, int]] = []
     for length in lengths.tolist():
         copies, portion = min(int(counts[length]), room // length), 1
@@ -69,7 +72,8 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, d
         fit = left[: np.searchsorted(left, room, side="right")]
         fit = fit[counts[fit] > 0][::-1]
         rest = fit[LONGEST:]
-        window = np.concatenate([fit[:LONGEST], rest[np.unique(np.linspace(0, rest.size - 1, SPREAD).astype(int))] if rest.size else rest])
+        spread = np.unique(np.linspace(0, rest.size - 1, SPREAD).astype(int)) if rest.size else np.zeros(0, int)
+        window = np.concatenate([fit[:LONGEST], rest[spread], np.delete(rest, spread)])
         chosen = fill_window(counts, window, room) if room and window.size else {}
         counts[anchor] += 1
         chosen[anchor] = chosen.get(anchor, 0) + 1
@@ -145,7 +149,7 @@ def pack_documents(docs: DataFrame, capacities: DataFrame, *, id_col: str = "doc
                         names=["id", "cap", "piece", "length", "part", "rank"],
                     )
 
-    items = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(measure, f"id {kind}, cap int, piece int, length int, part int, rank bigint")
+    items = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(measure, f"id {kind}, cap int, piece int, length int, part int, rank bigint")
     items = written(items, "packing-items")
     per_part = items.groupBy("cap", "length", "part").agg((F.max("rank") + 1).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("cap", "length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
