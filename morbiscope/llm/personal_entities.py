@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 try:
@@ -115,34 +115,115 @@ ADDRESS = re.compile(
     rf")(?!\w)"
 )
 
-# What every address holds (a kind of street or unit) or an e-mail address holds; only their surroundings are searched.
+# What every address holds (a kind of street or unit).
 _ADDRESS_CUE = re.compile(
     r"đường|phố|tổ|Jl|Jalan|Jln|Kp\.|Kampung|Gg\.|Lorong|Persiaran|Lebuh|Blk|Block|Purok|หมู่|ถนน|ถ\.|ซอย|ซ\.|Rua|Av|Travessa|Largo|Aldeia|Bairro|Box|House|Hse|Flat|Unit|Apt|Group|Room|Suite"
     r"|Street|St\b|Road|Rd\b|Lane|Ln\b|Close|Drive|Crescent|Boulevard|Blvd|Terrace|Way\b"
 )
-_EMAIL_CUE = re.compile(r"[@＠﹫]|[\[({<]\s?(?:at|arroba)\s?[\])}>]|\sat\s(?=\S{1,40}\sdot\s)", re.I)
-_NUMBER_CUE = re.compile(r"\d[\d() .\-\u00a0\u2000-\u2015\u202f\u3000]{5,}\d")
-_BEFORE_CUE, _AFTER_CUE = 80, 160
-
-
-def _around(text: str, cue: re.Pattern, before: int, after: int) -> Iterable[tuple[int, int]]:
-    """Stretches of ``text`` around the cues, run together where they meet."""
-    lo = hi = -1
-    for m in cue.finditer(text):
-        a, b = max(0, m.start() - before), min(len(text), m.end() + after)
-        if a <= hi:
-            hi = b
+_EMAIL_CUE = re.compile(rf"[@＠﹫]|[\[({{<]{_S0}(?:at|arroba)|(?<={_S})at{_SS}(?=[^\W_][^\s]*{_SS}dot{_S})", re.I)
+# A run of digits and what may stand between those of one number; every phone and identity number holds one.
+_NUMBER_CUE = re.compile(rf"\d[\d().\-−‐-―{_S[1:-1]}]{{5,}}\d")
+# What no e-mail address holds.
+_EMAIL_STOP = re.compile(rf"(?:(?![\w.+'\-@＠﹫．\[\](){{}}<>]|{_S}).)|\n", re.S)
+#: Words that an address may have before its first cue (five in the longest form), and its obligatory words after that (eleven).
+_BEFORE_CUE, _AFTER_CUE = 6, 12
+
+
+def _widest(pattern: re.Pattern) -> int:
+    """The most characters that a pattern without unbounded repetition can match."""
+    return int(re._parser.parse(pattern.pattern, pattern.flags).getwidth()[1])  # type: ignore[attr-defined]
+
+
+def _emails(text: str) -> Iterable[re.Match]:
+    """E-mail addresses: of each cue, all text up to the nearest characters that no address holds is searched."""
+    done = 0
+    for cue in _EMAIL_CUE.finditer(text):
+        if cue.start() < done:
+            continue
+        lo, size = done, 64
+        while size < cue.start() - done:  # grow to the left until a stop comes into view
+            stops = [m.end() for m in _EMAIL_STOP.finditer(text, cue.start() - size, cue.start())]
+            if stops:
+                lo = stops[-1]
+                break
+            size *= 4
         else:
-            if hi >= 0:
-                yield lo, hi
-            lo, hi = a, b
-    if hi >= 0:
-        yield lo, hi
-
-
-def _matches(text: str, pattern: re.Pattern, cue: re.Pattern, before: int = _BEFORE_CUE, after: int = _AFTER_CUE) -> Iterable[re.Match]:
-    for lo, hi in _around(text, cue, before, after):
-        yield from pattern.finditer(text, lo, hi)
+            lo = max([done, *[m.end() for m in _EMAIL_STOP.finditer(text, done, cue.start())]])
+        stop = _EMAIL_STOP.search(text, cue.end())
+        done = stop.start() if stop else len(text)
+        yield from EMAIL.finditer(text, lo, done)
+
+
+def _words_before(text: str, at: int) -> int:
+    """A position at least ``_BEFORE_CUE`` words before ``at``, or the beginning of its line."""
+    size = 8 * _BEFORE_CUE
+    while True:
+        lo = max(0, at - size)
+        line = text.rfind("\n", lo, at)
+        if line >= 0:
+            return line + 1
+        if lo == 0 or text.count(" ", lo, at) > _BEFORE_CUE:
+            return lo
+        size *= 2
+
+
+def _words_after(text: str, at: int) -> int:
+    """A position at least ``_AFTER_CUE`` words after ``at``, or the end of its line."""
+    size = 8 * _AFTER_CUE
+    while True:
+        hi = at + size
+        line = text.find("\n", at, hi)
+        if line >= 0:
+            return line
+        if hi >= len(text) or text.count(" ", at, hi) > _AFTER_CUE:
+            return min(hi, len(text))
+        size *= 2
+
+
+def _proposed(text: str, pattern: re.Pattern, lo: int, hi: int) -> Iterable[re.Match]:
+    """Matches that begin between ``lo`` and ``hi``: the stretch proposes where, and the text is then read on from there."""
+    while lo < hi and (start := pattern.search(text, lo, hi)):
+        whole = pattern.match(text, start.start())
+        if whole:
+            yield whole
+        lo = whole.end() if whole else start.start() + 1
+
+
+def _addresses(text: str) -> Iterable[re.Match]:
+    """Addresses: the words around each cue propose where one begins. No part of an address holds a line break."""
+    done = 0
+    for cue in _ADDRESS_CUE.finditer(text):
+        if cue.start() >= done:
+            for m in _proposed(text, ADDRESS, max(done, _words_before(text, cue.start())), _words_after(text, cue.end())):
+                yield m
+                done = m.end()
+
+
+def _numbers(text: str, pattern: re.Pattern, cues: Sequence[tuple[int, int]]) -> Iterable[re.Match]:
+    """Matches of a pattern of bounded length that holds a number cue, with as much text around the cue as it can take."""
+    reach, done = _REACH[pattern], 0
+    for start, end in cues:
+        for m in _proposed(text, pattern, max(done, start - reach), min(len(text), end + reach)):
+            yield m
+            done = m.end()
+
+
+_REACH = {p: _widest(p) + 2 for p in (IDENTITY, PHONE)}  # and what is looked at around a match
+_BLANKS = frozenset(c for c in map(chr, range(0x3001)) if re.fullmatch(_S, c))
+
+
+def _lead(text: str, at: int, size: int = 24) -> str:
+    """The text before ``at``, each run of blanks as one, at least ``size`` characters of it."""
+    out: list[str] = []
+    while at > 0 and len(out) < size:
+        at -= 1
+        c = text[at]
+        if c in _BLANKS:
+            c = " "
+            while at > 0 and text[at - 1] in _BLANKS:
+                at -= 1
+        out.append(c)
+    return "".join(reversed(out))
 
 
 # ---- names --------------------------------------------------------------------------------------------------
@@ -208,6 +289,8 @@ _INITIAL_AFTER = re.compile(rf"(?:{_SS}[A-Z]\.){{1,2}}(?!\w)")
 _COMMA_INITIAL = re.compile(rf"{_S0},{_SS}(?:[A-Z]\.{_S0}){{1,2}}(?!\w)")
 _AFTER = re.compile(rf"(?:'s)?{_SS}(?:{'|'.join(INSTITUTION_AFTER)})\b")
 _BEFORE = re.compile(rf"(?:{'|'.join(map(re.escape, sorted(INSTITUTION_BEFORE, key=len, reverse=True)))}){_S0}\Z")
+# Every one of these patterns is of bounded length, so looking so far around a name is looking far enough.
+_WIDEST_JOIN, _WIDEST_INITIALS, _WIDEST_BEFORE = max(map(_widest, (_JOIN, _COMMA_JOIN))), _widest(_INITIAL_BEFORE), _widest(_BEFORE)
 
 
 def name_spans(text: str, lexicon: NameLexicon) -> list[Span]:
@@ -218,9 +301,9 @@ def name_spans(text: str, lexicon: NameLexicon) -> list[Span]:
         start, end, kind = found[i]
         kinds, j = [kind], i + 1
         while j < len(found):
-            gap = text[end : found[j][0]]
-            if len(gap) > 12:
+            if found[j][0] - end > _WIDEST_JOIN:
                 break
+            gap = text[end : found[j][0]]
             comma = kinds[0] == "family" and "given" not in kinds and found[j][2] == "given" and _COMMA_JOIN.match(gap)
             if not (comma or _JOIN.match(gap)):
                 break
@@ -228,14 +311,14 @@ def name_spans(text: str, lexicon: NameLexicon) -> list[Span]:
             kinds.append(found[j][2])
             j += 1
         initials = 0
-        if m := _INITIAL_BEFORE.search(text[max(0, start - 8) : start]):
-            start, initials = start - len(m.group()), 1
-        elif m := _INITIAL_AFTER.match(text[end : end + 12]):
-            end, initials = end + len(m.group()), 1
-        elif len(kinds) == 1 and kind == "family" and (m := _COMMA_INITIAL.match(text[end : end + 12])):
+        if m := _INITIAL_BEFORE.search(text, max(0, start - _WIDEST_INITIALS), start):
+            start, initials = m.start(), 1
+        elif m := _INITIAL_AFTER.match(text, end):
+            end, initials = m.end(), 1
+        elif len(kinds) == 1 and kind == "family" and (m := _COMMA_INITIAL.match(text, end)):
             end, initials = end + len(m.group().rstrip()), 1
         i = j
-        if len(kinds) + initials >= 2 and not _AFTER.match(text[end : end + 24]) and not _BEFORE.search(text[max(0, start - 24) : start]):
+        if len(kinds) + initials >= 2 and not _AFTER.match(text, end) and not _BEFORE.search(text, max(0, start - _WIDEST_BEFORE), start):
             spans.append(Span("name", start, end))
     return spans
 
@@ -260,10 +343,10 @@ def find_entities(text: str | None, lexicon: NameLexicon) -> list[Span]:
         taken.extend((s.start, s.end) for s in kept)
         taken.sort()
 
-    offer(Span("email", m.start(), m.end()) for m in _matches(text, EMAIL, _EMAIL_CUE))
-    offer(Span("address", m.start(), m.end()) for m in _matches(text, ADDRESS, _ADDRESS_CUE))
+    offer(Span("email", m.start(), m.end()) for m in _emails(text))
+    offer(Span("address", m.start(), m.end()) for m in _addresses(text))
+    cues = [m.span() for m in _NUMBER_CUE.finditer(text)]
     for kind, pattern in (("identity_number", IDENTITY), ("phone", PHONE)):
-        numbers = _matches(text, pattern, _NUMBER_CUE, 6, 16)
-        offer(Span(kind, m.start(), m.end()) for m in numbers if not _OF_THING.search(text[max(0, m.start() - 24) : m.start()]))
+        offer(Span(kind, m.start(), m.end()) for m in _numbers(text, pattern, cues) if not _OF_THING.search(_lead(text, m.start())))
     offer(name_spans(text, lexicon))
     return sorted(spans, key=lambda s: s.start)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,20 +35,25 @@ def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "packing_capacity"))
 
 
+def _key(spark: SparkSession) -> str:
+    """The key of the surrogates: ``spark.morbiscope.surrogate.key`` of the session, else one that nobody knows."""
+    return spark.conf.get("spark.morbiscope.surrogate.key", None) or secrets.token_hex(16)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal information in every document."""
-    found = surrogates.protect_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"), texts=False)
+    found = surrogates.protect_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"), key=_key(spark), texts=False)
     return found.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.kind", "e.start_pos", "e.end_pos")
 
 
 def p9_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with typed placeholders, and with surrogates, in place of personal information."""
-    return surrogates.protect_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts")).drop("entities")
+    """Every document with typed placeholders, and with surrogates, in place of personal information; collisions refused."""
+    return surrogates.protect_checked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"), key=_key(spark)).drop("entities")
 
 
 def p9_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By kind, how many surrogates stand for several entities, and how many entities have several surrogates."""
-    found = surrogates.protect_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"), texts=False, originals=True)
+    found = surrogates.protect_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"), key=_key(spark), texts=False, originals=True)
     entities = found.select(F.explode("entities").alias("e")).select("e.kind", "e.original", "e.surrogate")
     return surrogates.surrogate_accounting(written(entities, "surrogates"))  # two reductions read it
 

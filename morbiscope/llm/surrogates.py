@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from morbiscope.llm.personal_entities import CONNECTORS, NameLexicon, Span, find_entities
 from morbiscope.llm.tree_tokenizer import slices
+from morbiscope.operators.checks import ContractError
+from morbiscope.runtime import spread, written
 
 PLACEHOLDERS = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[ID]", "address": "[ADDRESS]"}
-DEFAULT_KEY = "change-me"
 #: Rows of the list of name parts that the lexicon is fitted on (a bounded table; more rows are refused).
 MAX_PARTS = 200_000
 
@@ -171,7 +172,7 @@ def apply_spans(text: str, spans: list[Span], replacements: list[str]) -> str:
     return "".join([*out, text[at:]])
 
 
-def protect_documents(docs: DataFrame, name_parts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = DEFAULT_KEY, texts: bool = True, originals: bool = False) -> DataFrame:
+def protect_documents(docs: DataFrame, name_parts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str, texts: bool = True, originals: bool = False) -> DataFrame:
     """``id_col``, ``entities`` (array of kind, start_pos, end_pos, surrogate and, with ``originals``, original) and,
     with ``texts``, the text twice: ``redacted`` with typed placeholders and ``text_surrogate`` with surrogates.
 
@@ -182,7 +183,7 @@ def protect_documents(docs: DataFrame, name_parts: DataFrame, *, id_col: str = "
     no names but all other kinds; null parts are ignored; an empty table gives an empty result; other
     columns are not read.
 
-    Scale: no shuffle; each task streams Arrow batches cut by text size. Only the list of name parts is sent
+    Scale: no shuffle where the scan has a part per core; each task streams Arrow batches cut by text size. Only the list of name parts is sent
     to tasks, after a check that it has at most ``MAX_PARTS`` rows.
     """
     listed = name_parts.where("name_part is not null and position is not null").select("name_part", "position").distinct().take(MAX_PARTS + 1)
@@ -209,10 +210,25 @@ def protect_documents(docs: DataFrame, name_parts: DataFrame, *, id_col: str = "
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "entities", "redacted", "text_surrogate"][: len(columns)])
 
     schema = f"id {kind}, entities array<struct<kind:string,start_pos:int,end_pos:int,surrogate:string{',original:string' * originals}>>" + (", redacted string, text_surrogate string" if texts else "")
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    out = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)
     return out.select(F.col("id").alias(id_col), *out.columns[1:])
 
 
+def protect_checked(docs: DataFrame, name_parts: DataFrame, *, key: str, **options: str) -> DataFrame:
+    """``protect_documents`` with the collision check on all its entities: written once, read for the check, then returned.
+
+    A surrogate that stands for two different entities, or an entity with two surrogates, raises
+    ``ContractError`` with the numbers by kind, before any protected text is handed out.
+    """
+    made = written(protect_documents(docs, name_parts, key=key, originals=True, **options), "protected")
+    entities = made.select(F.explode("entities").alias("e")).select("e.kind", "e.original", "e.surrogate")
+    bad = [r.asDict() for r in surrogate_accounting(entities).where("collisions > 0 or splits > 0").collect()]  # one row per kind
+    if bad:
+        raise ContractError(f"surrogates are not distinct: {bad}")
+    without = F.transform("entities", lambda e: e.dropFields("original"))
+    return made.withColumn("entities", without)
+
+
 def _plain_pairs(entities: DataFrame) -> DataFrame:
     plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
     return entities.select("kind", plain(F.col("original")).alias("original"), plain(F.col("surrogate")).alias("surrogate")).distinct()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from morbiscope.llm import personal_entities as E
 from morbiscope.llm import surrogates as S
+from morbiscope.operators.checks import ContractError
 
 GIVEN = [a + b for a, b in itertools.product(["ar", "be", "qui", "ta", "zo"], ["mel", "rumi", "sira", "lon"])]
 FAMILY = [a + b for a, b in itertools.product(["esk", "fol", "grim", "prald", "wolt"], ["ano", "jono", "dinata", "berg"])]
@@ -90,7 +91,7 @@ def test_no_surrogate_of_two_people_in_a_corpus(spark):
     texts = ["Armel Eskano and A. Eskano", "A. Eskano", *[f"{x}. Eskano" for x in "BCDEFGHIJKLMNOPQRSTUVWXYZ"], "Eskberg, Q. and Quilon Eskberg, Tasira Eskano"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     parts = spark.createDataFrame(PARTS, "name_part string, position string")
-    found = S.protect_documents(df, parts, texts=False, originals=True)
+    found = S.protect_documents(df, parts, key="k", texts=False, originals=True)
     entities = found.select(F.explode("entities").alias("e")).select("e.kind", "e.original", "e.surrogate")
     assert [tuple(r) for r in S.surrogate_accounting(entities).collect()] == [("name", entities.select("original").distinct().count(), 0, 0)]
 
@@ -99,13 +100,46 @@ def test_frame(spark, lexicon):
     text = "Dear Armel Eskano, call 0539561005 or a@b.example​ \U0001f600 A. Eskano"
     df = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x"), (4, " ", "x"), (1, text, "y"), (5, "plain " * 50000 + "Armel Eskano", "x")], "doc_id bigint, text string, entities string")
     parts = spark.createDataFrame([*PARTS, (None, "given"), ("X", None)], "name_part string, position string")
-    rows = S.protect_documents(df, parts).collect()
+    rows = S.protect_documents(df, parts, key="k").collect()
     by = {r.doc_id: r for r in rows}
     assert len(rows) == 6 and by[1].redacted == "Dear [NAME], call [PHONE] or [EMAIL]​ \U0001f600 [NAME]"
     assert [text[e.start_pos : e.end_pos] for e in by[1].entities] == ["Armel Eskano", "0539561005", "a@b.example", "A. Eskano"]
     assert by[2].redacted is None and by[2].entities == [] and by[3].redacted == "" and by[4].redacted == " " and by[5].entities[0].start_pos == 300000
-    assert [r.kind for r in S.protect_documents(df, parts.limit(0)).where("doc_id = 5 or doc_id = 1").first().entities] == ["phone", "email"]
-    assert S.protect_documents(df.limit(0), parts).count() == 0
-    flat = S.protect_documents(df, parts).select("doc_id", "text_surrogate", F.explode("entities").alias("e"))
+    assert [r.kind for r in S.protect_documents(df, parts.limit(0), key="k").where("doc_id = 5 or doc_id = 1").first().entities] == ["phone", "email"]
+    assert S.protect_documents(df.limit(0), parts, key="k").count() == 0
+    flat = S.protect_documents(df, parts, key="k").select("doc_id", "text_surrogate", F.explode("entities").alias("e"))
     ents = spark.createDataFrame([("phone", "1 2", "9"), ("phone", "12", "9"), ("phone", "13", "9")], "kind string, original string, surrogate string")
     assert flat.count() == 9 and [tuple(r) for r in S.surrogate_collisions(ents).collect()] == [("phone", "9", 2)]
+
+
+@pytest.mark.parametrize(
+    "text,kind,start,end",
+    [
+        ("x " + "a" * 100 + "@mail.example.org end", "email", 2, 119),
+        ("Jalan Heron No. 9, K" + "a" * 170 + " next", "address", 0, 190),
+        ("to a@" + ".".join(f"label{i}" for i in range(20)) + ".org now", "email", 3, 158),
+        ("a.b" + " (dot) cc" * 30 + " (at) mail (dot) org.", "email", 0, 293),
+        ("call 0539561005   ,   máy lẻ   12345 please", "phone", 5, 36),
+        ("số 12 đường Heron" + ", phường Kestrelwingham" * 40, "address", 0, 17 + 40 * 23),
+        ("w " * 20_000 + "0539561005 and " + "w " * 20_000, "phone", 40_000, 40_010),
+    ],
+)
+def test_entities_of_any_length_are_found_whole(text, kind, start, end):
+    assert [(s.kind, s.start, s.end) for s in E.find_entities(text, E.NameLexicon([]))] == [(kind, start, end)]
+
+
+def test_things_are_told_from_numbers_at_any_distance():
+    lexicon = E.NameLexicon([])
+    assert E.find_entities("sample" + " " * 60 + "no." + " " * 60 + "0539561005", lexicon) == []
+    assert [s.kind for s in E.find_entities("+84 24 1234 567, 0539561005; +84 24 1234 567", lexicon)] == ["phone"] * 3
+
+
+def test_checked_protection_refuses_collisions(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a@example.org b@example.org")], "doc_id bigint, text string")
+    parts = spark.createDataFrame([], "name_part string, position string")
+    assert S.protect_checked(docs, parts, key="k").first().redacted == "[EMAIL] [EMAIL]"
+    same = F.transform("entities", lambda e: e.withField("surrogate", F.lit("x")))
+    whole = S.protect_documents
+    monkeypatch.setattr(S, "protect_documents", lambda *a, **k: whole(*a, **k).withColumn("entities", same))
+    with pytest.raises(ContractError, match="not distinct"):
+        S.protect_checked(docs, parts, key="k")
