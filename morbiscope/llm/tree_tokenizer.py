@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from morbiscope.runtime import spread
+
 TOKENIZER_DIR = os.environ.get("MORBISCOPE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k"
 LEAF_CHARS = 4096
@@ -124,7 +126,7 @@ def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     strings that look like special tokens are ordinary text; texts of any length are encoded whole; repeated
     rows stay repeated; an empty table gives an empty result; other columns are not read.
 
-    Scale: no shuffle; each task streams Arrow batches, cut again by text size. One text is handled by one
+    Scale: no shuffle where the scan has a part per core; each task streams Arrow batches, cut again by text size. One text is handled by one
     task, whose work is linear in its length (a piece without any white space is re-encoded once per level).
     """
 
@@ -139,7 +141,7 @@ def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
+    out = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {kind}, ids array<int>")
     return out.select(F.col("id").alias(id_col), "ids")
 
 
