@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
+from html import unescape
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,8 +54,6 @@ def bare_name(text: Column, generic: Sequence[str] = ("CITY", "PROVINCE", "REGIO
 
 def snake_name(name: str, fallback: str = "col") -> str:
     """Column name of a spreadsheet header: runs of other characters become one underscore."""
-    import re
-
     return re.sub(r"[^0-9a-z]+", "_", name.strip().lower()).strip("_") or fallback
 
 
@@ -76,10 +77,17 @@ def day(text: Column, pattern: str = "yyyy-MM-dd") -> Column:
 
 
 def instant(text: Column) -> Column:
-    """ISO-8601 text as an instant, offsets applied."""
+    """ISO-8601 text as an instant, offsets applied; text without one is of the session's zone."""
     return F.try_to_timestamp(clean_text(text))
 
 
+def clock(at: Column) -> Column:
+    """An instant as the date and time in UTC, whatever the session's zone is."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    micros = F.unix_micros(at)
+    return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros / F.lit(1_000_000)).cast("decimal(18,6)"))
+
+
 def real(text: Column) -> Column:
     return clean_text(text).try_cast("double")
 
@@ -113,13 +121,19 @@ _ZONES = {"UT": "+0000", "GMT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-
 
 
 def rfc822(text: Column) -> Column:
-    """An RFC 822 date with a known zone; no zone, ``-0000`` and malformed text give null."""
-    tidy = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", "")
+    """An RFC 822 date with a known zone; no zone, ``-0000`` and malformed text give null.
+
+    The weekday, the seconds and a comment in brackets may be there or not; a year of two digits is 1969 to 2068.
+    """
+    tidy = F.regexp_replace(F.trim(F.regexp_replace(text, r"\([^()]*\)", " ")), r"^(?:[A-Za-z]+,|[A-Za-z]{3}\s)\s*", "")
     zone = F.upper(F.regexp_extract(tidy, r"\s([A-Za-z]{1,3})$", 1))
     offset = F.create_map(*[F.lit(x) for kv in _ZONES.items() for x in kv])[zone]
     fixed = F.when(zone != "", F.concat(F.regexp_replace(tidy, r"[A-Za-z]{1,3}$", ""), offset)).otherwise(tidy)
     seconds = F.regexp_replace(fixed, r"(\s\d{2}:\d{2})(\s)", "$1:00$2")
-    return F.when(~F.endswith(fixed, F.lit("-0000")), F.try_to_timestamp(seconds, F.lit("d MMM yyyy HH:mm:ss Z")))
+    year = F.regexp_extract(seconds, r"^\d{1,2}\s+[A-Za-z]{3}\s+(\d{2})\s", 1)
+    century = F.when(year > "68", "19").otherwise("20")
+    whole = F.when(year != "", F.concat(F.regexp_extract(seconds, r"^(\d{1,2}\s+[A-Za-z]{3}\s+)", 1), century, F.regexp_replace(seconds, r"^\d{1,2}\s+[A-Za-z]{3}\s+", ""))).otherwise(seconds)
+    return F.when(~F.endswith(whole, F.lit("-0000")), F.try_to_timestamp(F.regexp_replace(whole, r"\s+", " "), F.lit("d MMM yyyy HH:mm:ss Z")))
 
 
 # ---- labels and codes ---------------------------------------------------------------------------------------
@@ -190,7 +204,6 @@ def words(text: Column, stop: Sequence[str] = (), least: int = 3) -> Column:
 
 def _unescaped():
     """Arrow-batched decoding of HTML entities; Spark has no built-in for the named ones."""
-    from html import unescape
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
@@ -205,7 +218,40 @@ def plain_title(text: Column) -> Column:
     return F.when(tidy != "", tidy)
 
 
+# A tag that reads alike for every parser: a name, and attributes without angle brackets or open quotes.
+_PLAIN_TAG = re.compile(r"""</?(?!(?:script|style|title|textarea|plaintext|xmp|iframe|noembed|noframes|noscript)\b)[A-Za-z][A-Za-z0-9]*(?:\s+[A-Za-z-]+(?:=(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=`]+))?)*\s*/?>""", re.I)
+
+
+class _Text(HTMLParser):
+    """The texts between the tags of a fragment."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.texts: list[str] = []
+
+    def handle_data(self, data: str) -> None:
+        self.texts.append(data)
+
+
+def text_of_html(markup: str | None) -> str | None:
+    """The text of an HTML fragment, its tags as blanks; ``<`` and ``>`` that are no tags stay text."""
+    if markup is None or ("<" not in markup and "&" not in markup):
+        return markup
+    bare = _PLAIN_TAG.sub(" ", markup)
+    if "<" not in bare:  # nothing but plain tags, which need no parser
+        return unescape(bare)
+    parser = _Text()
+    parser.feed(markup)
+    parser.close()
+    return " ".join(parser.texts)
+
+
 def html_text(text: Column) -> Column:
-    """Text of an HTML fragment: comments dropped, tags as blanks, entities decoded, white space collapsed."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", " "), r"<[^>]+>", " ")
-    return plain_title(bare)
+    """Text of an HTML fragment by a parser over Arrow batches: tags as blanks, comments dropped, entities decoded, white space collapsed."""
+
+    @F.pandas_udf("string")
+    def run(fragments: pd.Series) -> pd.Series:
+        return fragments.map(text_of_html, na_action="ignore")
+
+    tidy = F.trim(F.regexp_replace(run(text), r"(?U)\s+", " "))
+    return F.when(tidy != "", tidy)

@@ -72,6 +72,8 @@ class TableStore:
         if now["partition_column"] != self.partition_column:
             raise ContractError(f"{self.path}: partitioned by {now['partition_column']}, not {self.partition_column}")
         old = {f.name: f.dataType for f in StructType.fromJson(now["schema"])}
+        if strings_only and (odd := sorted(n for n, t in old.items() if not isinstance(t, StringType))):
+            raise ContractError(f"{self.path}: the table that is there has columns {odd} that are not strings")
         if clash := sorted(f.name for f in schema if f.name in old and old[f.name] != f.dataType):
             raise ContractError(f"{self.path}: columns {clash} change their type")
 
@@ -119,12 +121,21 @@ class TableStore:
         parts[""] = [*parts.get("", []), *self._write(df)]
         return self._commit(self._merged(df.schema), parts, base)
 
-    def rename_column(self, old: str, new: str) -> int:
-        """Rewrites the table under the new name; earlier versions keep the old one."""
+    def rename_column(self, old: str, new: str, only: str | None = None) -> int:
+        """Rewrites the table under the new name; earlier versions keep the old one.
+
+        With ``only`` the table must hold no other partition value, whose rows the new name might not fit.
+        """
         df = self.read()
+        if only is not None and (others := [v for v in self.partition_values() if v != only]):
+            raise ContractError(f"{self.path}: cannot rename {old} while it also holds {others}")
         if old not in df.columns or new in df.columns:
             raise ContractError(f"{self.path}: cannot rename {old} to {new}")
-        return self.overwrite(df.withColumnRenamed(old, new), replace_schema=True)
+        renamed = df.withColumnRenamed(old, new)
+        if only is None or self.partition_column is None:
+            return self.overwrite(renamed, replace_schema=True)
+        base, _ = self._base()
+        return self._commit(renamed.schema, {only: self._write(renamed)}, base)
 
     # ---- reads ------------------------------------------------------------------------------------------
     def read(self, version: int | None = None, partitions: list[str] | None = None) -> DataFrame:
