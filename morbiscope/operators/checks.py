@@ -49,9 +49,12 @@ def require_schema(df: DataFrame, contract: Mapping[str, str], label: str) -> No
         raise ContractError(f"{label}: schema differs in {sorted(set(have.items()) ^ set(contract.items()))}")
 
 
-def require_rows(df: DataFrame, label: str) -> None:
-    if df.isEmpty():
+def require_rows(df: DataFrame, label: str) -> int:
+    """The number of rows of a frame that can be read and is not empty."""
+    n = df.count()
+    if not n:
         raise ContractError(f"{label}: no rows")
+    return n
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
@@ -100,3 +103,11 @@ def parsed(df: DataFrame, *columns: Column) -> DataFrame:
     that it must not move (the partition id) keeps later filters above it; it is dropped again.
     """
     return df.select(*columns, F.spark_partition_id().alias("__held")).where("__held >= 0").drop("__held")
+
+
+def undisputed(df: DataFrame, keys: Sequence[str], checks: Sequence[Check]) -> DataFrame:
+    """Rows whose key no check lists; null keys equal null. The checks' frames hold ``keys``."""
+    for check in checks:
+        bad = check.violations.select(*[F.col(k).alias(f"__c{i}") for i, k in enumerate(keys)]).distinct()
+        df = df.join(bad, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__c{i}")) for i, k in enumerate(keys)]), "left_anti")
+    return df

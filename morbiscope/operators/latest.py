@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from morbiscope.operators.checks import Check, conflicting_keys
+from morbiscope.operators.checks import Check, ContractError, conflicting_keys, require_columns
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -39,12 +39,23 @@ def latest_version(df: DataFrame, column: str) -> DataFrame:
     return df.where(key.isNotNull()).agg(F.max_by(F.col(column), key).alias(column))
 
 
+def newest(df: DataFrame, column: str, dotted: bool, label: str) -> str:
+    """The highest dotted version, or the greatest value, of ``column``; a table that has none is refused."""
+    require_columns(df, [column], label)
+    top = (latest_version(df, column) if dotted else df.agg(F.max(column))).first()
+    if top is None or not top[0]:
+        raise ContractError(f"{label}: no {column}")
+    return top[0]
+
+
 def rows_of_latest_version(df: DataFrame, column: str) -> DataFrame:
-    return df.join(latest_version(df, column), column, "left_semi")
+    """Rows of the highest dotted version; as a literal, so that other partitions are pruned. Without a version, no rows."""
+    top = latest_version(df, column).first()[0]
+    return df.where(F.col(column) == F.lit(top)) if top is not None else df.limit(0)
 
 
 def rows_of_latest_snapshot(df: DataFrame, column: str) -> DataFrame:
-    """Rows of the greatest partition value; as a literal, so that other partitions are pruned."""
+    """Rows of the greatest partition value; as a literal, so that other partitions are pruned. Without a value, no rows."""
     top = df.agg(F.max(column)).first()[0]
     return df.where(F.col(column) == F.lit(top)) if top is not None else df.limit(0)
 

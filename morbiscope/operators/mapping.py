@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from morbiscope.functions.expressions import chosen
-from morbiscope.operators.checks import Check, duplicate_keys
+from morbiscope.operators.checks import Check, duplicate_keys, require_columns
 
 
 def name_check(df: DataFrame, dimension: DataFrame, code: str, name_key: Column, dim_key: str, label: str) -> tuple[DataFrame, list[Check]]:
@@ -69,7 +69,21 @@ def roll_up(df: DataFrame, crosswalk: DataFrame, old: str, new: str, measure: st
     return small.join(crosswalk.select(old, new).distinct(), old).groupBy(new, *group).agg(F.sum("__part").alias(measure))
 
 
+def crosswalk_counts(crosswalk: DataFrame, old: str, new: str) -> DataFrame:
+    """One row: rows, distinct old and new units, and rows that repeat an old unit."""
+    counts = crosswalk.agg(F.count("*").alias("n_rows"), F.count_distinct(old).alias("old_units"), F.count_distinct(new).alias("new_units"))
+    return counts.withColumn("repeated", F.col("n_rows") - F.col("old_units"))
+
+
 def crosswalk_shape(crosswalk: DataFrame, old: str, new: str, new_units: int) -> list[Check]:
-    """Every old unit once, and exactly ``new_units`` new ones."""
-    count = crosswalk.agg(F.count_distinct(new).alias("n"))
-    return [Check("crosswalk: old unit listed twice", duplicate_keys(crosswalk, old)), Check(f"crosswalk: not {new_units} new units", count.where(F.col("n") != new_units))]
+    """Every old unit once, and exactly ``new_units`` new ones; a crosswalk without these columns is refused."""
+    require_columns(crosswalk, [old, new], "crosswalk")
+    counts = crosswalk_counts(crosswalk, old, new)
+    return [Check("crosswalk: old unit listed twice", duplicate_keys(crosswalk, old)), Check(f"crosswalk: not {new_units} new units", counts.where(F.col("new_units") != new_units))]
+
+
+def reconcile_with_reference(crosswalk: DataFrame, reference: DataFrame | None, key: str, values: tuple[str, str]) -> tuple[DataFrame | None, list[str]]:
+    """``reconcile`` against a reference that may be absent, which is a warning and no error."""
+    if reference is None:
+        return None, ["no reference to compare the crosswalk with"]
+    return reconcile(crosswalk, reference, key, values), []

@@ -3,22 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from morbiscope.functions.expressions import inclusive_days
 
-def profile(df: DataFrame) -> DataFrame:
-    """Per column: type, rows, nulls, percentage of nulls, distinct values; one pass over the table."""
-    aggs = [F.count("*").alias("n_rows")]
-    for i, c in enumerate(df.columns):
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}")]
-    one = df.agg(*aggs)
-    rows = [
-        F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("column_type"), F.col("n_rows"), (F.col("n_rows") - F.col(f"n{i}")).alias("null_count"), F.col(f"d{i}").alias("distinct_count"))
-        for i, f in enumerate(df.schema)
-    ]
-    out = one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+
+def profile(df: DataFrame, rsd: float | None = None) -> DataFrame:
+    """Per column: type, rows, nulls, percentage of nulls, distinct values.
+
+    Distinct values are exact: each column is counted by an aggregation of its own, whose map side combines
+    equal values, so no row is multiplied by the number of columns and no stage carries more than one column.
+    With ``rsd`` they are estimated to that relative error, all columns in one pass of sketches.
+    """
+    n = F.count("*").alias("n_rows")
+    if rsd is not None:
+        one = df.agg(n, *[x for i, c in enumerate(df.columns) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.approx_count_distinct(F.col(f"`{c}`"), rsd).alias(f"d{i}"))])
+        parts = [one.select(F.lit(i).alias("i"), "n_rows", F.col(f"n{i}").alias("present"), F.col(f"d{i}").alias("distinct_count")) for i in range(len(df.columns))]
+    else:
+        values = lambda c: df.groupBy(F.col(f"`{c}`").alias("v")).agg(n)
+        parts = [
+            values(c).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n_rows"))), F.lit(0)).alias("present"), F.count("v").alias("distinct_count")).select(F.lit(i).alias("i"), "n_rows", "present", "distinct_count")
+            for i, c in enumerate(df.columns)
+        ]
+    counts = reduce(DataFrame.unionAll, parts)
+    names = F.array(*[F.struct(F.lit(f.name).alias("n"), F.lit(f.dataType.simpleString()).alias("t")) for f in df.schema])
+    out = counts.select(names[F.col("i")]["n"].alias("column_name"), names[F.col("i")]["t"].alias("column_type"), "n_rows", (F.col("n_rows") - F.col("present")).alias("null_count"), "distinct_count")
     return out.withColumn("null_percent", F.round(F.when(F.col("n_rows") > 0, 100.0 * F.col("null_count") / F.col("n_rows")).otherwise(0.0), 4))
 
 
@@ -82,3 +94,14 @@ def describe_by(df: DataFrame, group: Sequence[str], measure: str, digits: int =
         F.count(m).alias("n"), r(F.avg(m)).alias("mean"), r(F.stddev(m)).alias("std"), F.min(m).alias("least"),
         *[r(F.percentile(m, F.lit(q))).alias(name) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))], F.max(m).alias("most"),
     )
+
+
+def period_length_check(df: DataFrame, start: str, end: str, resolution: str) -> DataFrame:
+    """Rows whose period, both days included, is not as long as its declared resolution, with ``days``.
+
+    A week has 7 days, a month 28 to 31, a year 365 or 366. Rows without a day or with another resolution are
+    listed as well; the letter case of the resolution does not matter.
+    """
+    days, kind = inclusive_days(F.col(start), F.col(end)), F.lower(F.col(resolution))
+    fits = F.when(kind.isin("week", "epiweek", "isoweek"), days == 7).when(kind == "month", days.between(28, 31)).when(kind == "year", days.between(365, 366))
+    return df.withColumn("days", days).where(~F.coalesce(fits, F.lit(False)))

@@ -39,9 +39,9 @@ def test_query(spark, con, name):
 
 def test_whole_tables_are_profiled(spark):
     documents = spark.read.parquet(f"{SF}/documents.parquet")
-    assert [r.column_name for r in catalog.profile_table_all(spark, SF).collect()] == documents.columns
+    assert [r.column_name for r in catalog.profile_table(spark, SF).collect()] == documents.columns
     news = spark.read.parquet(f"{SF}/news_rss.parquet")
-    assert catalog.duplicate_report_all(spark, SF).first().duplicate_rows == news.count() - news.distinct().count()
+    assert catalog.duplicate_report(spark, SF).first().duplicate_rows == news.count() - news.distinct().count()
 
 
 def test_conflicts_are_returned(spark, tmp_path):

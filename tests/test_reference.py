@@ -156,6 +156,34 @@ def test_rfc822(spark, text, want):
     assert got == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [("5 < 7 days and 9 > 8 cases", "5 < 7 days and 9 > 8 cases"), ('<a title="x>y">t</a>', "t"), ("<p>a</p><!-- <b>no</b> -->b<br/>c", "a b c"), ("&lt;b&gt; &amp; &nbsp; x", "<b> & x"), ("<script>a<b>c</script>d", "a<b>c d"),
+     ("<b>bold</b>er", "bold er"), ("<font color=red face='a b'>x</font>", "x"), ("a<", "a <"), (" <br> ", None), ("", None), (None, None), ("x" * 50_000 + "<i>y</i>", "x" * 50_000 + " y")],
+)
+def test_text_of_html(spark, text, want):
+    assert one(spark, X.html_text(F.col("t")), t=text) == want
+
+
+@pytest.mark.parametrize("text,want", [("Wed, 30 Sep 2026 08:00:00 +0700 (ICT)", "2026-09-30 01:00:00"), ("30 Sep 26 08:00 GMT", "2026-09-30 08:00:00"), ("30 Sep 69 08:00:00 +0000", "1969-09-30 08:00:00"), ("Wednesday, 30  Sep 2026 08:00:00 +0000", "2026-09-30 08:00:00"), ("Wed 30 Sep 2026 08:00:00 +0000", "2026-09-30 08:00:00"), ("30 Sep 2026 08:00:00", None), ("(x)", None)])
+def test_rfc822_forms(spark, text, want):
+    assert one(spark, F.date_format(X.rfc822(F.col("t")), "yyyy-MM-dd HH:mm:ss"), t=text) == want
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [("5 < 7 days and 9 > 8 cases", "5 < 7 days and 9 > 8 cases"), ('<a title="x>y">t</a>', "t"), ("<p>a</p><!-- <b>no</b> -->b<br/>c", "a b c"), ("&lt;b&gt; &amp; &nbsp; x", "<b> & x"), ("<script>a<b>c</script>d", "a<b>c d"),
+     ("<b>bold</b>er", "bold er"), ("<font color=red face='a b'>x</font>", "x"), ("a<", "a <"), (" <br> ", None), ("", None), (None, None), ("x" * 50_000 + "<i>y</i>", "x" * 50_000 + " y")],
+)
+def test_text_of_html(spark, text, want):
+    assert one(spark, X.html_text(F.col("t")), t=text) == want
+
+
+@pytest.mark.parametrize("text,want", [("Wed, 30 Sep 2026 08:00:00 +0700 (ICT)", "2026-09-30 01:00:00"), ("30 Sep 26 08:00 GMT", "2026-09-30 08:00:00"), ("30 Sep 69 08:00:00 +0000", "1969-09-30 08:00:00"), ("Wednesday, 30  Sep 2026 08:00:00 +0000", "2026-09-30 08:00:00"), ("Wed 30 Sep 2026 08:00:00 +0000", "2026-09-30 08:00:00"), ("30 Sep 2026 08:00:00", None), ("(x)", None)])
+def test_rfc822_forms(spark, text, want):
+    assert one(spark, F.date_format(X.rfc822(F.col("t")), "yyyy-MM-dd HH:mm:ss"), t=text) == want
+
+
 def test_text_expressions(spark):
     assert one(spark, X.clean_text(F.col("t")), t=" n/a ") is None and one(spark, X.clean_text(F.col("t")), t=" a \t b ") == "a b"
     assert one(spark, X.hyphen_title(F.col("t")), t="TIMOR-LESTE") == "Timor-Leste"
