@@ -35,8 +35,9 @@ def version_key(version: Column) -> Column:
 
 def latest_version(df: DataFrame, column: str) -> DataFrame:
     """One row with the numerically highest dotted version (null if there is none)."""
+    names = df.select(column).distinct()  # few, so that versions are not read from every row
     key = version_key(F.col(column))
-    return df.where(key.isNotNull()).agg(F.max_by(F.col(column), key).alias(column))
+    return names.where(key.isNotNull()).agg(F.max_by(F.col(column), key).alias(column))
 
 
 def newest(df: DataFrame, column: str, dotted: bool, label: str) -> str:

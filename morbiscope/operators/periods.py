@@ -66,8 +66,9 @@ def sweep(place: np.ndarray, level: np.ndarray, s: np.ndarray, e: np.ndarray, co
 
 
 def _interval_table(rows: DataFrame, location: Sequence[str], level: Column, start: str, end: str) -> DataFrame:
-    """``rows`` with ``__place`` (text, null parts included), ``__level`` and the interval as day numbers."""
-    place = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(location)]))
+    """``rows`` with ``__place`` (text, each part with its length, so that no two places are alike), ``__level`` and the interval as day numbers."""
+    texts = [F.col(k).cast("string") for k in location]
+    place = F.concat(*[F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in texts]) if texts else F.lit("")
     return rows.withColumns({"__place": place, "__level": level, "__s": F.unix_date(F.col(start)), "__e": F.unix_date(F.col(end))})
 
 

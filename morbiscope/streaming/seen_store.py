@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -145,12 +146,16 @@ class SeenStore:
         best = merged.where("touched").select(*keys, (-F.col("best.neg")).alias("stays"))
         beaten = rows.select(*keys, "id").join(best, keys).where("id <> stays").select("id")
         displaced = merged.where("touched and prior is not null and prior.neg <> best.neg").select((-F.col("prior.neg")).alias("id"))
-        beaten.unionByName(displaced).write.mode("overwrite").parquet(f"{here}/out")
+        out = beaten.unionByName(displaced)
 
         # Next state: what the watermark has passed goes to the archive.
         mark = max((x for x in (before.watermark, None if top is None else top - self.delay) if x is not None), default=None)
         expired = F.lit(False) if mark is None else F.col("best.at") < mark
-        kept, gone = self._write(merged.select(*keys, "best", F.col("best.at").alias("seen"), expired.alias("expired")), f"{here}/state")
+        state = merged.select(*keys, "best", F.col("best.at").alias("seen"), expired.alias("expired"))
+        with ThreadPoolExecutor(2) as pool:  # output and state are two jobs over the same rows; neither counts before the commit
+            written_out = pool.submit(lambda: out.write.mode("overwrite").parquet(f"{here}/out"))
+            kept, gone = pool.submit(self._write, state, f"{here}/state").result()
+            written_out.result()
         hot = {b: p for b, p in before.hot.items() if b not in touched} | kept
         archive = {b: p for b, p in before.archive.items() if b not in crowded}
         self._publish(Commit(batch_id, mark, self.buckets, hot, archive | {b: [*archive.get(b, []), *p] for b, p in gone.items()}))
